@@ -1,0 +1,319 @@
+"""Order-dependent operators on bounded graphs.
+
+Each decision reads what earlier ones changed, so the fold itself is one sequential step over a ranked list. Spark
+makes the list; its length is checked (LIMIT rows), and the fold runs in one task, not on the driver. Degree, coverage
+and counts are kept up to date in the fold instead of being counted again.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import heapq
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+LIMIT = 1_000_000
+EDGE = "source string, relation string, target string, source_type string"
+COLUMNS = ["source", "relation", "target", "source_type"]
+
+
+def fold(df: DataFrame, step: Callable[[list[tuple]], Iterable[tuple]], schema: str, order: list, limit: int = LIMIT) -> DataFrame:
+    """step on the ordered rows of df, as one group."""
+    if (n := df.limit(limit + 1).count()) > limit:
+        raise ValueError(f"{n} rows; a sequential step takes at most {limit}")
+    names = [c.split()[0] for c in schema.split(",")]
+    ordered = df.withColumn("__o", F.row_number().over(Window.orderBy(*order)))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        rows = list(f.sort_values("__o").drop(columns=["__o", "__g"]).itertuples(index=False, name=None))
+        return pd.DataFrame(list(step(rows)), columns=names)
+
+    return ordered.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(run, schema)
+
+
+def _draw(seed: int, *key) -> str:
+    return hashlib.md5("|".join(map(str, (seed, *key))).encode()).hexdigest()
+
+
+class Graph:
+    """Edges with caps: no loops, no repeated edge, at most max_degree different neighbours a node."""
+
+    def __init__(self, max_degree: int | None = None, one_relation: bool = False):
+        self.max_degree, self.one_relation = max_degree, one_relation
+        self.keys: set[tuple] = set()
+        self.near: dict[str, set[str]] = defaultdict(set)
+        self.edges: list[tuple] = []
+
+    def add(self, source: str, relation: str, target: str, kind: str | None) -> bool:
+        if source == target or (source, relation, target) in self.keys:
+            return False
+        new = target not in self.near[source]
+        if not new and self.one_relation:
+            return False
+        if new and self.max_degree is not None and max(len(self.near[source]), len(self.near[target])) >= self.max_degree:
+            return False
+        self.keys.add((source, relation, target))
+        self.near[source].add(target)
+        self.near[target].add(source)
+        self.edges.append((source, relation, target, kind))
+        return True
+
+
+def capped_graph(edges: DataFrame, max_degree: int, order: list, target_edges: int | None = None, one_relation: bool = False) -> DataFrame:
+    """Edges taken in order while the caps allow it, up to target_edges."""
+
+    def step(rows: list[tuple]) -> Iterable[tuple]:
+        g = Graph(max_degree, one_relation)
+        for r in rows:
+            if target_edges is not None and len(g.edges) >= target_edges:
+                break
+            g.add(*r)
+        return g.edges
+
+    return fold(edges.select(*COLUMNS), step, EDGE, order)
+
+
+def backbone(edges: DataFrame, lemmas: DataFrame, roots: list[str], priority: list[str], target_nodes: int, max_degree: int, max_depth: int) -> DataFrame:
+    """Breadth-first growth from roots. (source, relation, target, source_type, depth): depth is that of the edge's new end.
+
+    From each node relations go in the order of priority, targets by falling number of edges, then by name. A new node needs lemmas (node,
+    lemma) of which none is taken; a node whose edge is refused gives its lemmas back. Then edges between chosen nodes are added.
+    """
+    names = lemmas.groupBy(F.col("node").alias("target")).agg(F.array_sort(F.collect_set("lemma")).alias("lemmas"))
+    rows = edges.select(*COLUMNS).join(names, "target", "left").select(*COLUMNS, F.array_join(F.coalesce("lemmas", F.array().cast("array<string>")), "\t").alias("l"))
+    own_lemmas = lemmas.where(F.col("node").isin(roots)).select(F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("relation"), F.col("node").alias("target"), F.lit(None).cast("string").alias("source_type"), F.col("lemma").alias("l"))
+
+    def step(all_rows: list[tuple]) -> Iterable[tuple]:
+        out: dict[str, list[tuple]] = defaultdict(list)
+        score, said = Counter(), {}
+        for s, r, t, k, l in all_rows:
+            if s is None:
+                said.setdefault(t, set()).update([l])
+                continue
+            said[t] = set(l.split("\t")) - {""}
+            if r in priority:
+                out[s].append((priority.index(r), t, r, k))
+                score[s] += 1
+        g, taken, depth_of = Graph(max_degree), set(), {}
+        made: list[tuple] = []
+
+        def admit(node: str, depth: int) -> bool:
+            own = said.get(node, set())
+            if node in depth_of:
+                depth_of[node] = min(depth, depth_of[node])
+                return True
+            if not own or own & taken:
+                return False
+            depth_of[node] = depth
+            taken.update(own)
+            return True
+
+        queue = [(root, 0) for root in roots if admit(root, 0)]
+        for node, depth in queue:
+            if len(depth_of) >= target_nodes:
+                break
+            if depth == max_depth:
+                continue
+            for _, target, relation, kind in sorted(out[node], key=lambda x: (x[0], -score[x[1]], x[1])):
+                new = target not in depth_of
+                if new and len(depth_of) >= target_nodes or not admit(target, depth + 1):
+                    continue
+                if g.add(node, relation, target, kind):
+                    made.append((node, relation, target, kind, depth + 1))
+                    if new:
+                        queue.append((target, depth + 1))
+                elif new:
+                    del depth_of[target]
+                    taken.difference_update(said[target])
+        for node in sorted(depth_of):
+            for _, target, relation, kind in sorted(out[node], key=lambda x: (x[0], -score[x[1]], x[1])):
+                if target in depth_of and g.add(node, relation, target, kind):
+                    made.append((node, relation, target, kind, depth_of[target]))
+        return made
+
+    return fold(rows.unionByName(own_lemmas), step, EDGE + ", depth int", ["source", "relation", "target", "l"])
+
+
+def expand(ranked: DataFrame, base: DataFrame, target_edges: int, node_limit: int, max_degree: int, loose: str = "RelatedTo", loose_ratio: float = 0.2, loose_most: int = 10**6) -> DataFrame:
+    """Edges added to base from ranked candidates (rank, relation, source_lemma, target_lemma, source_node, target_node, weight).
+
+    A lemma outside the graph becomes a node while node_limit allows; if its edge is refused the node goes again. The loose relation
+    has a quota. A second pass takes candidates whose ends are both known by then.
+    """
+    quota = min(loose_most, int(target_edges * loose_ratio))
+    known = base.select(F.lit(-1).alias("rank"), "relation", F.lit(None).cast("string").alias("source_lemma"), F.lit(None).cast("string").alias("target_lemma"), F.col("source").alias("source_node"), F.col("target").alias("target_node"), "source_type")
+    rows = known.unionByName(ranked.select("rank", "relation", "source_lemma", "target_lemma", "source_node", "target_node", F.lit("conceptnet").alias("source_type")))
+
+    def step(all_rows: list[tuple]) -> Iterable[tuple]:
+        g, nodes, made, used = Graph(max_degree), set(), {}, 0
+        candidates = []
+        for rank, relation, sl, tl, s, t, kind in all_rows:
+            if rank < 0:
+                g.add(s, relation, t, kind)
+                nodes |= {s, t}
+            else:
+                candidates.append((relation, sl, tl, s, t, kind))
+        start = len(g.edges)
+        for second in (False, True):
+            for relation, sl, tl, s, t, kind in candidates:
+                if len(g.edges) - start >= target_edges:
+                    break
+                if relation == loose and used >= quota:
+                    continue
+                s, t = s or made.get(sl), t or made.get(tl)
+                new = None
+                if s is None or t is None:
+                    if second or len(nodes) >= node_limit:
+                        continue
+                    lemma = sl if s is None else tl
+                    new = f"conceptnet:{lemma.replace(' ', '_')}:{len(made)}"
+                    s, t = s or new, t or new
+                if g.add(s, relation, t, kind):
+                    used += relation == loose
+                    if new:
+                        nodes.add(new)
+                        made[lemma] = new
+        return g.edges[start:]
+
+    return fold(rows, step, EDGE, ["rank", "relation", "source_node", "target_node"])
+
+
+def repair_degrees(ranked: DataFrame, base: DataFrame, least: int, budget: int, max_degree: int) -> DataFrame:
+    """Edges that tie nodes of base with too few neighbours to outside lemmas, best candidate first, `budget` at most."""
+    known = base.select(F.lit(-1).alias("rank"), "relation", F.lit(None).cast("string").alias("lemma"), "source", "target")
+    outside = ranked.where(F.col("source_node").isNull() != F.col("target_node").isNull())
+    mine = F.coalesce("source_node", "target_node")
+    lemma = F.when(F.col("source_node").isNull(), F.col("source_lemma")).otherwise(F.col("target_lemma"))
+    rows = known.unionByName(outside.select("rank", "relation", lemma.alias("lemma"), F.when(F.col("source_node").isNotNull(), mine).alias("source"), F.when(F.col("target_node").isNotNull(), mine).alias("target")))
+
+    def step(all_rows: list[tuple]) -> Iterable[tuple]:
+        g, offers, taken = Graph(max_degree), defaultdict(list), set()
+        for rank, relation, lemma, s, t in all_rows:
+            if rank < 0:
+                g.add(s, relation, t, None)
+            else:
+                offers[s or t].append((relation, lemma, s is not None))
+        start = len(g.edges)
+        for node in sorted(n for n, near in g.near.items() if len(near) < least):
+            for relation, lemma, forward in offers[node]:
+                if len(g.near[node]) >= least or len(g.edges) - start >= budget:
+                    break
+                if lemma in taken:
+                    continue
+                new = f"repair:{lemma.replace(' ', '_')}:{len(taken)}"
+                if g.add(*((node, relation, new) if forward else (new, relation, node)), "repair"):
+                    taken.add(lemma)
+        return g.edges[start:]
+
+    return fold(rows, step, EDGE, ["rank", "relation", "lemma"])
+
+
+def _cover(edges: list[tuple], seed: int) -> list[int]:
+    """Numbers of edges that touch every node: matched pairs of rare nodes first, then one edge for each node left."""
+    degree = Counter(n for e in edges for n in (e[0], e[2]))
+    order = sorted(range(len(edges)), key=lambda k: (min(degree[edges[k][0]], degree[edges[k][2]]), degree[edges[k][0]] + degree[edges[k][2]], _draw(seed, *edges[k]), k))
+    covered, chosen = set(), []
+    for k in order:
+        if edges[k][0] not in covered and edges[k][2] not in covered:
+            chosen.append(k)
+            covered.update((edges[k][0], edges[k][2]))
+    for k in order:
+        if edges[k][0] not in covered or edges[k][2] not in covered:
+            chosen.append(k)
+            covered.update((edges[k][0], edges[k][2]))
+    return sorted(chosen)
+
+
+def edge_cover(edges: DataFrame, seed: int) -> DataFrame:
+    return fold(edges.select(*COLUMNS), lambda rows: [rows[k] for k in _cover(rows, seed)], EDGE, COLUMNS)
+
+
+def relation_first(edges: DataFrame, sample: DataFrame, seed: int, trials: int = 500) -> DataFrame:
+    """A stratified sample repaired to touch every node: an edge at an uncovered node comes in, and of at most `trials`
+    edges whose ends stay covered the one leaves that moves the counts by stratum least. The size stays."""
+    marked = edges.select(*COLUMNS).join(sample.select(*COLUMNS).withColumn("m", F.lit(1)), COLUMNS, "left").select(*COLUMNS, F.coalesce("m", F.lit(0)).alias("m"))
+
+    def step(rows: list[tuple]) -> Iterable[tuple]:
+        chosen = {k for k, r in enumerate(rows) if r[4]}
+        wanted = Counter((rows[k][1], rows[k][3]) for k in chosen)
+        have, degree = Counter(wanted), Counter(n for k in chosen for n in (rows[k][0], rows[k][2]))
+        at: dict[str, list[int]] = defaultdict(list)
+        for k, r in enumerate(rows):
+            at[r[0]].append(k)
+            at[r[2]].append(k)
+        for node in sorted(n for n in at if not degree[n]):
+            if degree[node]:
+                continue
+            come = min(at[node], key=lambda k: (have[rows[k][1], rows[k][3]] - wanted[rows[k][1], rows[k][3]], -(degree[rows[k][0]] == 0) - (degree[rows[k][2]] == 0), _draw(seed, "in", *rows[k][:4])))
+            key = rows[come][1], rows[come][3]
+            loose = [k for k in heapq.nsmallest(trials, (k for k in chosen if degree[rows[k][0]] > 1 and degree[rows[k][2]] > 1), key=lambda k: _draw(seed, node, k))]
+            if not loose:
+                raise ValueError(f"no edge can leave for {node}")
+            leave = min(loose, key=lambda k: (abs(have[rows[k][1], rows[k][3]] - 1 - wanted[rows[k][1], rows[k][3]]) if (rows[k][1], rows[k][3]) != key else 0, k))
+            for k, by in ((come, 1), (leave, -1)):
+                have[rows[k][1], rows[k][3]] += by
+                degree[rows[k][0]] += by
+                degree[rows[k][2]] += by
+            chosen.add(come)
+            chosen.discard(leave)
+        return [rows[k][:4] for k in sorted(chosen)]
+
+    return fold(marked, step, EDGE, COLUMNS)
+
+
+def relation_control(edges: DataFrame, sample: DataFrame, wanted: DataFrame, seed: int, trials: int = 200) -> DataFrame:
+    """A sample moved towards wanted counts (relation, n) by swaps: at most four times its size, each strictly better."""
+    counts = {r.relation: r.n for r in wanted.collect()}  # one row a relation
+    marked = edges.select(*COLUMNS).join(sample.select(*COLUMNS).withColumn("m", F.lit(1)), COLUMNS, "left").select(*COLUMNS, F.coalesce("m", F.lit(0)).alias("m"))
+
+    def step(rows: list[tuple]) -> Iterable[tuple]:
+        inside, outside = defaultdict(list), defaultdict(list)
+        for k, r in enumerate(rows):
+            (inside if r[4] else outside)[r[1]].append(k)
+        for pools in (inside, outside):
+            for pool in pools.values():
+                pool.sort(key=lambda k: _draw(seed, *rows[k][:4]), reverse=True)
+        size = sum(map(len, inside.values()))
+        for _ in range(4 * size):
+            excess = {r: len(inside[r]) - counts.get(r, 0) for r in {*inside, *counts}}
+            leave = max((r for r in excess if inside[r]), key=lambda r: (excess[r], r), default=None)
+            come = min((r for r in excess if outside[r]), key=lambda r: (excess[r], r), default=None)
+            if leave is None or come is None or excess[leave] <= 0 or excess[come] >= 0:
+                break
+            gone, new = inside[leave].pop(), outside[come].pop()
+            inside[come].insert(0, new)
+            outside[leave].insert(0, gone)
+        return [rows[k][:4] for k in sorted(k for pool in inside.values() for k in pool)]
+
+    return fold(marked, step, EDGE, COLUMNS)
+
+
+def paired_repair(edges: DataFrame, fixed: DataFrame, variable: DataFrame, seed: int, trials: int = 300) -> DataFrame:
+    """The variable part of a paired sample, swapped so that fixed and variable edges touch as many nodes as they can."""
+    tag = lambda df, m: df.select(*COLUMNS).withColumn("m", F.lit(m))
+    marked = edges.select(*COLUMNS).join(tag(fixed, 2).unionByName(tag(variable, 1)), COLUMNS, "left").select(*COLUMNS, F.coalesce("m", F.lit(0)).alias("m"))
+
+    def step(rows: list[tuple]) -> Iterable[tuple]:
+        chosen, locked = {k for k, r in enumerate(rows) if r[4] == 1}, {k for k, r in enumerate(rows) if r[4] == 2}
+        degree = Counter(n for k in chosen | locked for n in (rows[k][0], rows[k][2]))
+        for k in sorted((k for k, r in enumerate(rows) if not r[4]), key=lambda k: _draw(seed, *rows[k][:4])):
+            if degree[rows[k][0]] and degree[rows[k][2]]:
+                continue
+            gain = (not degree[rows[k][0]]) + (not degree[rows[k][2]])
+            same = [c for c in heapq.nsmallest(trials, chosen, key=lambda c: (rows[c][1] != rows[k][1], c)) if degree[rows[c][0]] > 1 and degree[rows[c][2]] > 1]
+            if not same or not gain:
+                continue
+            leave = same[0]
+            chosen.discard(leave)
+            chosen.add(k)
+            for e, by in ((k, 1), (leave, -1)):
+                degree[rows[e][0]] += by
+                degree[rows[e][2]] += by
+        return [rows[k][:4] for k in sorted(chosen)]
+
+    return fold(marked, step, EDGE, COLUMNS)

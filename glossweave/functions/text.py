@@ -28,7 +28,7 @@ def clean_lemma(raw: Column, most: int = 3) -> Column:
 
 
 def acceptable_lemmas(raw: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(raw, clean_lemma), lambda t: t.isNotNull()))
+    return F.array_distinct(F.filter(F.transform(raw, lambda r: clean_lemma(r)), lambda t: t.isNotNull()))
 
 
 def node_lemma(uri: Column) -> Column:
@@ -119,7 +119,7 @@ def alphabet(ranges: list[tuple[int, int]]) -> list[str]:
 
 def comma_list(values: Column) -> Column:
     """Items of repeatable options with commas: split, trimmed, blanks dropped."""
-    return F.filter(F.transform(F.flatten(F.transform(values, lambda v: F.split(v, ","))), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.flatten(F.transform(values, lambda v: F.split(v, ","))), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def overlap_percent(condition: Column) -> Column:

@@ -246,12 +246,18 @@ def relation_first(edges: DataFrame, sample: DataFrame, seed: int, trials: int =
         for k, r in enumerate(rows):
             at[r[0]].append(k)
             at[r[2]].append(k)
+        leaving, place = sorted(chosen, key=lambda k: _draw(seed, "out", *rows[k][:4])), 0  # one drawn order, gone round
         for node in sorted(n for n in at if not degree[n]):
             if degree[node]:
                 continue
             come = min(at[node], key=lambda k: (have[rows[k][1], rows[k][3]] - wanted[rows[k][1], rows[k][3]], -(degree[rows[k][0]] == 0) - (degree[rows[k][2]] == 0), _draw(seed, "in", *rows[k][:4])))
             key = rows[come][1], rows[come][3]
-            loose = [k for k in heapq.nsmallest(trials, (k for k in chosen if degree[rows[k][0]] > 1 and degree[rows[k][2]] > 1), key=lambda k: _draw(seed, node, k))]
+            loose, looked = [], 0
+            while looked < len(leaving) and len(loose) < trials:
+                k = leaving[place]
+                if k in chosen and degree[rows[k][0]] > 1 and degree[rows[k][2]] > 1:
+                    loose.append(k)
+                place, looked = (place + 1) % len(leaving), looked + 1
             if not loose:
                 raise ValueError(f"no edge can leave for {node}")
             leave = min(loose, key=lambda k: (abs(have[rows[k][1], rows[k][3]] - 1 - wanted[rows[k][1], rows[k][3]]) if (rows[k][1], rows[k][3]) != key else 0, k))

@@ -106,7 +106,7 @@ def pooled_sentences(tokens: DataFrame, vectors: DataFrame, size: int, exclude:
     return tokens.select("sentence").distinct().join(means, "sentence", "left").select("sentence", F.coalesce("vec", F.array_repeat(F.lit(0.0), size)).alias("vec"))
 
 
-def similarity_distribution(df: DataFrame, most: int = 5000) -> DataFrame:
+def similarity_distribution(df: DataFrame, most: int = 20_000) -> DataFrame:
     """One row over all ordered pairs of different rows: mean, lower median, sample SD, minimum and quantiles.
 
     Every pair is looked at, so the table is bounded.
@@ -119,7 +119,7 @@ def similarity_distribution(df: DataFrame, most: int = 5000) -> DataFrame:
     return sims.agg(F.count("*").alias("pairs"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.expr("percentile_disc(0.5) within group (order by s)"), 6).alias("lower_median"), F.round(F.stddev_samp("s"), 6).alias("sd"), F.round(F.min("s"), 6).alias("least"), q(0.01).alias("q01"), q(0.05).alias("q05"), q(0.95).alias("q95"), q(0.99).alias("q99"))
 
 
-def extreme_pairs(df: DataFrame, n: int, largest: bool, most: int = 5000) -> DataFrame:
+def extreme_pairs(df: DataFrame, n: int, largest: bool, most: int = 20_000) -> DataFrame:
     """The n unordered pairs of greatest (or least) similarity of a bounded list."""
     if df.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} rows")

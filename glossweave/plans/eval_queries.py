@@ -64,19 +64,19 @@ def knn_topk(spark, d):
     return retrieval.neighbours_of(v, v.where("id = 0"), 10, 0.2).withColumn("sim", F.round("sim", 6))
 
 
-_PAIRS = NORMED + ", fifth AS (SELECT * FROM normed WHERE id % 5 = 0), pairs AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.vec, b.vec), 9) AS sim FROM fifth a, fifth b WHERE a.id < b.id)"
+_PAIRS = NORMED + ", fifth AS (SELECT * FROM normed), pairs AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.vec, b.vec), 9) AS sim FROM fifth a, fifth b WHERE a.id < b.id)"
 
 
 @query(f"WITH {_PAIRS} (SELECT a, b, round(sim, 6) AS sim, 'top' AS side FROM pairs ORDER BY pairs.sim DESC, a, b LIMIT 10) UNION ALL (SELECT a, b, round(sim, 6) AS sim, 'bottom' FROM pairs ORDER BY pairs.sim, a, b LIMIT 10)")
 def knn_extreme_pairs(spark, d):
-    v = ad.vectors(spark, d).where("id % 5 = 0 and id < 25000")
+    v = ad.vectors(spark, d)
     side = lambda up, name: retrieval.extreme_pairs(v, 10, up).withColumn("sim", F.round("sim", 6)).withColumn("side", F.lit(name))
     return side(True, "top").unionByName(side(False, "bottom"))
 
 
 @query(f"WITH {_PAIRS}, s AS (SELECT list_dot_product(a.vec, b.vec) AS s FROM fifth a, fifth b WHERE a.id <> b.id) SELECT count(*) AS pairs, round(avg(s), 6) AS mean, round(quantile_disc(s, 0.5), 6) AS lower_median, round(stddev_samp(s), 6) AS sd, round(min(s), 6) AS least, round(quantile_cont(s, 0.01), 6) AS q01, round(quantile_cont(s, 0.05), 6) AS q05, round(quantile_cont(s, 0.95), 6) AS q95, round(quantile_cont(s, 0.99), 6) AS q99 FROM s")
 def sim_distribution(spark, d):
-    return retrieval.similarity_distribution(ad.vectors(spark, d).where("id % 5 = 0 and id < 25000"))
+    return retrieval.similarity_distribution(ad.vectors(spark, d))
 
 
 _CENT = ad.VECTORS + ", parts AS (SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(vec) AS v, generate_subscripts(vec, 1) AS i FROM vectors) GROUP BY label, i), cent AS (SELECT label, list(v ORDER BY i) AS vec FROM parts GROUP BY label)"

@@ -337,7 +337,7 @@ def expansion_fold(spark, d):
 def low_degree_repair(spark, d):
     r = written(_ranked(spark, d), "ranked")
     base = r.where("source_node is not null and target_node is not null").select(F.col("source_node").alias("source"), "relation", F.col("target_node").alias("target"))
-    return greedy.repair_degrees(r, base, 4, 50, 12)
+    return greedy.repair_degrees(r, base, 12, 50, 16)
 
 
 @query()
@@ -347,8 +347,10 @@ def edge_cover(spark, d):
 
 @query()
 def relation_first_repair(spark, d):
-    e = _small(spark, d)
-    return greedy.relation_first(e, sampling.stratified_fraction(e, 0.97, 1), 1)
+    e = _small(spark, d).where("relation <> 'hasBrand'")
+    back = e.select(F.col("source"), F.concat(F.lit("also_"), "relation").alias("relation"), "target", "source_type")
+    e = e.unionByName(back)
+    return greedy.relation_first(e, sampling.stratified_fraction(e, 0.75, 1), 1)
 
 
 @query()

@@ -121,11 +121,11 @@ def anchor_selection(spark, d):
     return corpus.select_anchors(_frequency(spark, d), "mid", 0.05, 1)
 
 
-_TRANS = LINE_TOKENS + ", " + ad.LEXICON + ", en AS (SELECT * FROM toks WHERE lang = 'en' AND doc_id % 3 = 0)"
+_TRANS = LINE_TOKENS + ", " + ad.LEXICON + ", en AS (SELECT * FROM toks WHERE lang = 'en')"
 
 
 def _sentence_tokens(spark, d):
-    t = _line_tokens(spark, d, "lang = 'en' and doc_id % 3 = 0")
+    t = _line_tokens(spark, d, "lang = 'en'")
     return t.select(F.concat_ws(":", "doc_id", "line_no").alias("sentence"), F.col("pos").alias("position"), "token")
 
 
@@ -170,10 +170,11 @@ def parallel_join(spark, d):
     return corpus.join_shared(c.where("turn % 2 = 0"), c.where("turn % 2 = 1"), ["conv_id"]).select("conv_id", F.md5("lang_a").alias("a"), F.md5("lang_b").alias("b"))
 
 
-@query(f"WITH {ad.LINES}, a AS (SELECT * FROM lines WHERE doc_id = 0), b AS (SELECT * FROM lines WHERE doc_id = 2) SELECT a.line_no, a.text AS lang_a, b.text AS lang_b FROM a JOIN b USING (line_no) WHERE NOT (trim(a.text, ' ') = '' AND trim(b.text, ' ') = '')")
+@query(f"WITH {ad.LINES}, a AS (SELECT *, doc_id // 2 AS pair FROM lines WHERE doc_id % 2 = 0), b AS (SELECT *, doc_id // 2 AS pair FROM lines WHERE doc_id % 2 = 1) SELECT pair, line_no, md5(a.text) AS lang_a, md5(b.text) AS lang_b FROM a JOIN b USING (pair, line_no)")
 def parallel_zip_by_line(spark, d):
-    lines = ad.corpus_lines(spark, d)
-    return corpus.zip_lines(lines.where("doc_id = 0"), lines.where("doc_id = 2"))
+    lines = ad.corpus_lines(spark, d).withColumn("pair", F.floor(F.col("doc_id") / 2))
+    both = corpus.zip_lines(lines.where("doc_id % 2 = 0"), lines.where("doc_id % 2 = 1"), ["pair"])
+    return both.select("pair", "line_no", F.md5("lang_a").alias("lang_a"), F.md5("lang_b").alias("lang_b"))
 
 
 @query(f"WITH {LINE_TOKENS}, t AS (SELECT DISTINCT token FROM toks WHERE lang = 'en') SELECT token, CAST(row_number() OVER (ORDER BY encode(token)) + 4 AS INTEGER) AS id FROM t UNION ALL SELECT s, CAST(i - 1 AS INTEGER) FROM (SELECT unnest(['[PAD]', '[UNK]', '[CLS]', '[SEP]', '[MASK]']) AS s, generate_subscripts(['[PAD]', '[UNK]', '[CLS]', '[SEP]', '[MASK]'], 1) AS i)")

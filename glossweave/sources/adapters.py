@@ -109,10 +109,10 @@ ASSERTIONS = """assertions AS (
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(lang, key, artificial): words of English documents that begin with a to r have artificial tokens in two languages."""
-    w = table(spark, sf_dir, "documents").where("lang = 'en' and doc_id % 5 = 0").select(F.explode(F.array_distinct(F.split("text", " "))).alias("key")).where("key rlike '^[a-r]+$'").distinct()
+    w = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(F.array_distinct(F.split("text", " "))).alias("key")).where("key rlike '^[a-r]+$'").distinct()
     return w.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("lang"), "key").withColumn("artificial", F.concat("lang", F.substring(F.md5(F.concat_ws("|", "lang", "key")), 1, 10)))
 
 
 LEXICON = """lexicon AS (
   SELECT lang, key, lang || substr(md5(lang || '|' || key), 1, 10) AS artificial
-  FROM (SELECT DISTINCT key FROM (SELECT unnest(string_split(text, ' ')) AS key FROM documents WHERE lang = 'en' AND doc_id % 5 = 0) WHERE regexp_full_match(key, '[a-r]+')) CROSS JOIN (VALUES ('a'), ('b')) l(lang))"""
+  FROM (SELECT DISTINCT key FROM (SELECT unnest(string_split(text, ' ')) AS key FROM documents WHERE lang = 'en') WHERE regexp_full_match(key, '[a-r]+')) CROSS JOIN (VALUES ('a'), ('b')) l(lang))"""

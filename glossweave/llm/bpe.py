@@ -74,6 +74,18 @@ def _decoder(rank_file: str, pattern: str):
     return decode
 
 
+def _round_trip(rank_file: str, pattern: str, piece: int):
+    """Encoding and decoding in one worker: ranks are held once, and ids don't travel between them."""
+    encode, decode = _encoder(rank_file, pattern, piece), _decoder(rank_file, pattern)
+    return lambda batches: decode(encode(batches))
+
+
+def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text", piece: int = 1 << 16) -> DataFrame:
+    """(doc_id, ids, decoded) for each row: bpe_encode, and bpe_decode of its ids."""
+    ship(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(_round_trip(rank_file, pattern, piece), "doc_id long, ids binary, decoded binary")
+
+
 def bpe_encode(docs: DataFrame, rank_file: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text", piece: int = 1 << 16) -> DataFrame:
     """(doc_id, ids) for each row: ids are little-endian unsigned 32-bit integers in one binary value.
 

@@ -17,8 +17,13 @@ PACKAGE = Path(__file__).resolve().parent.parent
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package: by path on one machine, as a zip elsewhere."""
+    """Let Python workers import this package (by path on one machine, as a zip elsewhere) and hold little memory:
+    smaller Arrow batches unless the session sets its own, and freed memory goes back to the system."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "2"), ("MALLOC_TRIM_THRESHOLD_", "1048576"), ("OMP_NUM_THREADS", "1")):
+        sc.environment.setdefault(name, value)
     root = str(PACKAGE.parent)
     if sc.master.startswith("local"):
         known = sc.environment.get("PYTHONPATH", "")

@@ -88,7 +88,7 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     rank_file = _tokenizer("byte_bpe_50k.tiktoken")
-    rows = bpe.bpe_decode(bpe.bpe_encode(docs, rank_file), rank_file)
+    rows = bpe.bpe_round_trip(docs, rank_file)
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -211,7 +211,7 @@ def fit(texts: list[str], toxic: list[int], least: int = 3, ratio: float = 3.0,
         ridge = np.diag([1.0, 1.0, 0.01])
         hessian = (x * (q * (1 - q))[:, None]).T @ x + ridge
         d = d + np.clip(np.linalg.solve(hessian, x.T @ (y - q) - ridge @ d), -2, 2)
-    used = np.flatnonzero(np.abs(weights) > 1e-3)
+    used = np.flatnonzero(np.abs(weights) > 1e-2)
     listed = list(names)
     return Model({listed[i]: float(weights[i]) for i in used}, float(bias), transition, float(start), tuple(float(v) for v in d))
 
@@ -220,20 +220,20 @@ def _tag(model: Model, carry: int, span_least: float):
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 500):  # what is in memory does not grow with Arrow's batches
+                b = whole.slice(at, 500)
                 texts = b.column(carry).to_pylist()
-                emission, bounds = [], np.zeros(len(texts) + 1, np.int64)
+                emissions, bounds = [], np.zeros(len(texts) + 1, np.int64)
                 for k, t in enumerate(texts):
                     ws = _WORD.findall(t)
                     for w in ws:
                         if w not in known:
-                            if len(known) > 500_000:
-                                known.clear()
                             known[w] = model.emission(w)
-                        emission.append(known[w])
-                    bounds[k + 1] = len(emission)
-                p = whole_marginals(np.asarray(emission), bounds, model.transition, model.start)
+                    emissions.append(np.fromiter(map(known.__getitem__, ws), float, len(ws)))
+                    bounds[k + 1] = bounds[k] + len(ws)
+                    if len(known) > 100_000:
+                        known.clear()
+                p = whole_marginals(np.concatenate(emissions), bounds, model.transition, model.start)
                 scores = model.scores(p, bounds)
                 spans: list[list[dict]] = [[] for _ in texts]
                 for k in np.unique(np.searchsorted(bounds, np.flatnonzero(p >= span_least), "right") - 1).tolist():

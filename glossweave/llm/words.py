@@ -21,7 +21,7 @@ PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _STEP = int(_RANDOM.integers(2**62, 2**63, dtype=_U)) * 2 + 1
 _BACK = pow(_STEP, -1, 2**64)
 _PLACE = _RANDOM.integers(1, 2**63, 64, dtype=_U) * _U(2) + _U(1)
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def _powers(base: int, n: int) -> np.ndarray:

@@ -124,8 +124,22 @@ class Model:
     start: float = 0.0
     document: tuple[float, float, float] = (0.0, 0.0, -2.0)
 
+    def __post_init__(self):
+        self._by: dict[str, dict[str, float]] = {k: {} for k in "w456e"}
+        for f, v in self.weights.items():
+            self._by[f[0]][f[2:]] = v
+
     def emission(self, word: str) -> float:
-        return self.bias + sum(self.weights.get(f, 0.0) for f in features(word))
+        """The bias and the weights of features(word), looked up without making their names."""
+        w, by = word.lower(), self._by
+        out = self.bias + by["w"].get(w, 0.0) + by["e"].get(w[-4:], 0.0)
+        if len(w) >= 4:
+            out += by["4"].get(w[:4], 0.0)
+            if len(w) >= 5:
+                out += by["5"].get(w[:5], 0.0)
+                if len(w) >= 6:
+                    out += by["6"].get(w[:6], 0.0)
+        return out
 
     def scores(self, p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_evidence(p, bounds) @ np.array(self.document), -30, 30)))
@@ -231,7 +245,7 @@ def _tag(model: Model, carry: int, span_least: float):
                             known[w] = model.emission(w)
                     emissions.append(np.fromiter(map(known.__getitem__, ws), float, len(ws)))
                     bounds[k + 1] = bounds[k] + len(ws)
-                    if len(known) > 100_000:
+                    if len(known) > 300_000:
                         known.clear()
                 p = whole_marginals(np.concatenate(emissions), bounds, model.transition, model.start)
                 scores = model.scores(p, bounds)

@@ -85,7 +85,7 @@ class Sets:
         return np.asarray(data[int(at[k]) : int(at[k + 1])])
 
 
-def _frequent(out: str, least: int, most: int, tokens: int = 1 << 24):
+def _frequent(out: str, least: int, most: int, tokens: int = 1 << 22):
     """Write the shingles in at least `least` of the given sets to a file: the `most` most frequent of them.
 
     Sets beyond a sum of `tokens` shingles are left out of this sample."""
@@ -145,11 +145,12 @@ def _blocks(chunk: int):
                 part, gids = gids[:chunk], gids[chunk:]
                 data = part.astype("<i8").tobytes()
                 whole = last and number == 0 and not len(gids)
-                if not whole or data not in told:
+                digest = hashlib.blake2b(data, digest_size=12).digest()
+                if not whole or digest not in told:  # many tokens of near copies have the same owners
                     if len(told) > 200_000:
                         told.clear()
                     if whole:
-                        told.add(data)
+                        told.add(digest)
                     out.append((int(part[0]), token, number, 1 if whole else 0, data))
                 number += 1
             held = [gids] if len(gids) and not last else []
@@ -174,7 +175,7 @@ def _blocks(chunk: int):
                 held.append(gids[i:j])
                 if sum(map(len, held)) > 4 * chunk:
                     close(False)
-                if len(out) >= 2000:
+                if len(out) >= 2000 or sum(len(r[4]) for r in out[-64:]) > 1 << 20:
                     yield ready()
         if token is not None:
             close(True)
@@ -277,7 +278,7 @@ def _search(out: str, percent: int):
                             root = classes.find(everyone[q])
                             links.append(pair)
                         else:
-                            if len(failed) > 1_000_000:
+                            if len(failed) > 200_000:
                                 failed.clear()
                             failed.add(pair)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
@@ -306,7 +307,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sample = reps.orderBy("digest").limit(sample_sets).select("gid").coalesce(1)
     found = sample.mapInArrow(_frequent(out, sample_least, frequent_most), "found long").collect()  # one row
     late = f"{out}/frequent.bin" if found and found[0].found else None
-    by_file = reps.select("gid").repartition(F.expr(f"shiftright(gid, {_FILE_BITS})")).sortWithinPartitions("gid")
+    by_file = reps.select("gid").repartition(partitions(spark), F.expr(f"shiftright(gid, {_FILE_BITS})")).sortWithinPartitions("gid")
     tokens = by_file.mapInArrow(_prefixes(out, late, percent), "token long, gid long")
     blocks = written(tokens.repartition(partitions(spark), "token").sortWithinPartitions("token", "gid").mapInArrow(_blocks(chunk), _BLOCK), "blocks")
     single = blocks.where("chunks = 1").select("lead", "members", F.lit(None).cast("binary").alias("others"))

@@ -9,6 +9,8 @@ sum of the ids in all parts before it.
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +26,10 @@ from .common import filesystem, flat_array, partitions, publish, ship, text_or_e
 
 _PART = "part int, docs long, ids long"
 _ROW = "doc_id long, start long, n_tokens long, ids binary"
+#: PATTERN for texts of ASCII and Latin letters only, where re's classes agree with it; re is twice as fast as regex.
+_LATIN = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+_NOT_LATIN = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ]").search
+_ANY = regex.compile(PATTERN).findall
 #: Matches remembered by a worker; the memory is emptied when it is full.
 MEMO = 400_000
 
@@ -43,18 +49,18 @@ class Ids:
         kind = json.loads(self.tokenizer.to_str())
         pre = kind.get("pre_tokenizer") or {}
         self.by_match = not kind.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and kind["model"].get("dropout") is None
-        self.size, self.memo, self.split = self.tokenizer.get_vocab_size(with_added_tokens=True), {}, regex.compile(PATTERN).findall
+        self.size, self.memo = self.tokenizer.get_vocab_size(with_added_tokens=True), {}
 
     def of(self, texts: list[str]) -> list[bytes]:
         if not self.by_match:
             return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        memo, split = self.memo, [self.split(t) for t in texts]
+        memo, split = self.memo, [_ANY(t) if _NOT_LATIN(t) else _LATIN(t) for t in texts]
         if len(memo) > MEMO:
             memo.clear()
         if new := list({m for ms in split for m in ms if m not in memo}):
             for m, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                memo[m] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join([memo[m] for m in ms]) for ms in split]
+                memo[m] = array("I", e.ids).tobytes()
+        return [b"".join(map(memo.__getitem__, ms)) for ms in split]
 
 
 @lru_cache(maxsize=2)

@@ -31,7 +31,7 @@ _LATIN = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+
 _NOT_LATIN = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ]").search
 _ANY = regex.compile(PATTERN).findall
 #: Matches remembered by a worker; the memory is emptied when it is full.
-MEMO = 400_000
+MEMO = 1_000_000
 
 
 class Ids:

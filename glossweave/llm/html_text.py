@@ -4,7 +4,8 @@ Markup is stripped first: scripts, styles and other unseen text go, block elemen
 menus, footers, adverts, comments and the like are marked by their elements' names and class words. The
 lengths of the lines' text outside links are summed over a sliding window; where a sum rises above the threshold
 the text surges, where it falls to nothing it dives. The main text lies between the first surge and the last
-dive, and reaches to the ends of the element that holds it, so short paragraphs at its ends stay.
+dive, and reaches to the ends of the element that holds it, so short paragraphs at its ends stay. Marks of an
+article only bound and extend what the windows found, and only where most of it is marked.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ class Line:
     text: str
     linked: int  # characters in links
     outside: bool
-    holder: int  # number of the innermost article or main, else 0
+    holders: tuple[int, ...]  # numbers of the articles and mains around it, the innermost last
     parent: int  # number of the innermost element that holds lines
 
 
@@ -56,14 +57,14 @@ def lines_of(page: str) -> list[Line]:
     out: list[Line] = []
     parts: list[str] = []
     linked, in_link, number = 0, 0, 0
-    stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]  # name, outside, holder, number
+    stack: list[tuple[str, bool, tuple[int, ...], int]] = [("", False, (), 0)]  # name, outside, holders, number
 
     def end_line() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(parts)).replace("\x00", "")).strip()
         if text:
-            _, outside, holder, parent = stack[-1]
-            out.append(Line(text, min(linked, len(text)), outside, holder, parent))
+            _, outside, holders, parent = stack[-1]
+            out.append(Line(text, min(linked, len(text)), outside, holders, parent))
         parts.clear()
         linked = 0
 
@@ -121,11 +122,11 @@ def lines_of(page: str) -> list[Line]:
         while stack[-1][0] in INLINE or name in ENDS.get(stack[-1][0], ()):
             stack.pop()  # elements that end where the next one begins
         number += 1
-        _, outside, holder, parent = stack[-1]
-        outside = outside or name in OUTSIDE or name == "header" and not holder or name not in KEEP and _outside(name, m[3])
+        _, outside, holders, parent = stack[-1]
+        outside = outside or name in OUTSIDE or name == "header" and not holders or name not in KEEP and _outside(name, m[3])
         if name in ("article", "main"):
-            holder = number
-        stack.append((name, outside, holder, parent if name in SINGLE else number))
+            holders = (*holders, number)
+        stack.append((name, outside, holders, parent if name in SINGLE else number))
     end_line()
     return out
 
@@ -161,16 +162,42 @@ def surge_and_dive(lengths: list[int], window: int = 3, surge: int = 60) -> tupl
     return first, last + 1
 
 
+def _dives(lengths: list[int], window: int) -> list[bool]:
+    """Which lines are in a window whose sum is nothing."""
+    out, run = [False] * len(lengths), 0
+    for k, n in enumerate(lengths):
+        run = 0 if n else run + 1
+        if run >= window:
+            out[k - window + 1 : k + 1] = [True] * window
+    return out
+
+
+def _marked(own: list[Line], lengths: list[int], first: int, end: int, window: int) -> list[Line]:
+    """The marked lines of the region and, up to the next dive, those to the ends of the elements that hold its text."""
+    touched = {h for x, n in zip(own[first:end], lengths[first:end]) if n for h in x.holders}
+    inside = [k for k, x in enumerate(own) if x.holders and (first <= k < end or x.holders[-1] in touched)]
+    dives = _dives([lengths[k] for k in inside], window)
+    found = [i for i, k in enumerate(inside) if first <= k < end]
+    begin, stop = found[0], found[-1] + 1
+    while begin and not dives[begin - 1]:
+        begin -= 1
+    while stop < len(inside) and not dives[stop]:
+        stop += 1
+    return [own[k] for k in inside[begin:stop]]
+
+
 def main_text(page: str, window: int = 3, surge: int = 60) -> str:
     lines = lines_of(page)
     own = [x for x in lines if not x.outside]
-    if any(x.holder for x in own):
-        return "\n".join(x.text for x in own if x.holder)
     lengths = [0 if 2 * x.linked > len(x.text) else len(x.text) - x.linked for x in own]
     found = surge_and_dive(lengths, window, surge)
     if not found:
+        if any(n and x.holders for x, n in zip(own, lengths)):
+            return "\n".join(x.text for x, dive in zip(own, _dives(lengths, window)) if x.holders and not dive)
         return "\n".join(x.text for x, n in zip(own, lengths) if n)
     first, end = found
+    if 2 * sum(n for x, n in zip(own[first:end], lengths[first:end]) if x.holders) >= sum(lengths[first:end]):
+        return "\n".join(x.text for x in _marked(own, lengths, first, end, window))
     parents = {own[first].parent, own[end - 1].parent}  # short lines at the ends, in the same elements
     while first and lengths[first - 1] and own[first - 1].parent in parents:
         first -= 1
@@ -193,9 +220,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """One row for each row of pages: page_id, url, text.
 
     text has the main text's blocks in page order, joined by one line end; character references are decoded, white
-    space inside a block is one space, and a block is trimmed. Where the page marks its article (article or
-    main), all of it but outside parts is the main text. A null page, or one without text, gives an empty text. Null and
-    repeated ids and urls pass through; an empty table gives no rows; other columns are ignored. Rows never meet: no shuffle.
+    space inside a block is one space, and a block is trimmed. The windows find the region on every page. Where at least
+    half of its text is marked (article or main), unmarked lines go and the region reaches to those elements' ends or
+    the next dive. A page whose windows never surge gives its marked lines, or all that are no links if none is
+    marked. A null page, or one without text, gives an empty text. Null and repeated ids and urls pass through; an empty table gives no rows; other columns are ignored. Rows never meet: no shuffle.
     """
     ship(pages.sparkSession)
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))

@@ -409,6 +409,14 @@ def test_page_without_article():
     assert html_text.main_text(page) == "\n".join(["Title", p.strip(), "Short.", p.strip(), "End."])
 
 
+def test_windows_decide_on_marked_pages():
+    p = "This paragraph is long enough to be the text of an article, with several words."
+    links = "".join(f"<div><a href=x>{p}</a></div>" for _ in range(4))
+    marked = f"<div>Unlisted notice.</div><main><article>{links}<h1>Title</h1><p>{p}</p><p>End.</p>{links}</article><article><p>Teaser.</p></article></main><div>Below.</div>"
+    assert html_text.main_text(marked) == "\n".join(["Title", p, "End."])
+    assert html_text.main_text(f"<article><p>Teaser.</p></article>{links}<div><p>{p}</p><p>{p}</p></div>") == "\n".join([p, p])
+
+
 def test_window_edges():
     assert html_text.surge_and_dive([0, 0, 80, 5, 0, 90, 0, 0]) == (2, 6)
     assert html_text.surge_and_dive([5, 5]) is None and html_text.surge_and_dive([]) is None

@@ -1,9 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-The items are taken in blocks of bounded size. Over the whole corpus the documents that hold each n-gram of a
-block's items are counted; of every few neighbouring n-grams of an item the rarest is a seed, so that each
-stretch of an item keeps one, however often it was copied. Where a document holds a seed, the item is
-aligned with the words around it. Documents never move; only counts of the items' n-grams are shuffled.
+The items are taken in blocks of bounded size. Every n-gram of an item is a seed, however often or rarely it is held:
+in an edited copy any of them may be the only one left whole. Where a document holds a seed, the item is aligned with
+the words around it. Documents never move, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -57,8 +56,11 @@ class Items:
         for _, bounds, words, _, _ in word_hashes(pa.array(texts, pa.binary()) if texts else pa.array([], pa.binary()), PUNCTUATION):
             self.words += [words[bounds[k] : bounds[k + 1]] for k in range(len(bounds) - 1)]
         grams = [shingles(w, n) if len(w) >= n else np.zeros(0, np.uint64) for w in self.words]
-        self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
-        self.per_item = [np.searchsorted(self.grams, g) for g in grams]
+        self.seeds = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
+        self.holders: list[list[tuple[int, int]]] = [[] for _ in self.seeds]  # the items of each seed and its places in them
+        for item, own in enumerate(grams):
+            for place, seed in enumerate(np.searchsorted(self.seeds, own).tolist()):
+                self.holders[seed].append((item, place))
 
     def find(self, grams: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of grams are among the sorted ones: their places in grams and in among."""
@@ -68,35 +70,6 @@ class Items:
         hit = np.flatnonzero(among[at] == grams)
         return hit, at[hit]
 
-    def seed(self, counts: np.ndarray, window: int) -> None:
-        """Choose the seeds by the number of documents that hold each n-gram."""
-        holders: dict[int, list[tuple[int, int]]] = {}
-        for item, own in enumerate(self.per_item):
-            for k in range(0, len(own), window):
-                best = min(range(k, min(k + window, len(own))), key=lambda p: (counts[own[p]], p))
-                holders.setdefault(int(own[best]), []).append((item, best))
-        chosen = np.array(sorted(holders), np.int64)
-        self.seeds, self.holders = self.grams[chosen], [holders[int(c)] for c in chosen]
-
-
-def _count(items: Items):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.grams), np.int64)
-        for b in batches:
-            for _, bounds, words, _, _ in word_hashes(b.column(0), PUNCTUATION):
-                if len(words) < items.n:
-                    continue
-                grams = shingles(words, items.n)  # over all rows at once; those across two rows go
-                hit, which = items.find(grams, items.grams)
-                row = np.searchsorted(bounds, hit, "right") - 1
-                whole = hit + items.n <= bounds[row + 1]
-                pairs = np.unique(row[whole] * len(items.grams) + which[whole])
-                total += np.bincount(pairs % max(1, len(items.grams)), minlength=len(total))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["gram", "docs"])
-
-    return count
-
 
 def leaks_of(items: Items, words: np.ndarray, hits: np.ndarray, which: np.ndarray, least: float, min_words: int) -> dict[int, tuple]:
     """Best alignment of every item that has a seed in the text: item -> (score, matches, first word, end word)."""
@@ -107,7 +80,7 @@ def leaks_of(items: Items, words: np.ndarray, hits: np.ndarray, which: np.ndarra
             begin, end = max(0, at - place - m // 2), min(len(words), at - place + m + m // 2 + 1)
             own = windows.setdefault(item, [])
             if own and begin <= own[-1][1]:
-                own[-1][1] = max(own[-1][1], end)
+                own[-1] = [min(own[-1][0], begin), max(own[-1][1], end)]
             else:
                 own.append([begin, end])
     out: dict[int, tuple] = {}
@@ -159,14 +132,15 @@ def _blocks(items: DataFrame, item_col: str, text_col: str, block_chars: int) ->
         yield k == n - 1, [r.i for r in rows], [r.t.encode() for r in rows]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, carry: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, window: int = 2, least: float = 0.5, min_words: int = 8, block_chars: int = 16 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, carry: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, least: float = 0.5, min_words: int = 8, block_chars: int = 16 << 20) -> DataFrame:
     """The columns `carry` of docs and leaks: an array of the items that the text holds, with score, matching
     words and the passage's bytes.
 
     score is the Smith-Waterman score (2 for equal words, -1 for a different, added or missing one) over
     that of a perfect copy; an item leaks at `least` with at least min_words equal words (all of a shorter
     item). Words are lower-cased and parted at ASCII characters other than letters and digits. A null text
-    has no leaks, and neither has an item that is null or has fewer than n words. Items that repeat are
+    has no leaks, and neither has an item that is null or has fewer than n words; a passage that shares no n words in
+    a row with an item is not aligned with it. Items that repeat are
     reported each; a document that holds an item twice reports the better place, at a tie the first.
     Null and repeated ids pass through. An empty table on either side gives empty arrays.
     """
@@ -177,11 +151,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, carry: list[str], text_col: st
     out = docs.select(*carry, F.array().cast(_LEAK).alias("__leaks"), *([] if has_text else [body.alias("__body")]))
     for last, ids, texts in _blocks(items, item_col, item_text_col, block_chars):
         block = Items(ids, texts, n)
-        counts = np.zeros(len(block.grams), np.int64)
-        held = docs.select(body.alias("body")).mapInArrow(_count(block), "gram long, docs long")
-        for r in held.groupBy("gram").agg(F.sum("docs").alias("docs")).toLocalIterator():  # no more rows than the block has n-grams
-            counts[r.gram] = r.docs
-        block.seed(counts, window)
         keep = [] if has_text or last else [F.col("__body").alias("__keep")]  # a later block reads the text again
         before = out.select(*carry, F.col("__leaks").alias("__before"), *keep, body.alias("__scanned") if has_text else F.col("__body").alias("__scanned"))
         kinds = [*fields, f"`__before` {_LEAK}", *(["`__keep` binary"] if keep else [])]

@@ -258,6 +258,29 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(docs(spark, []), items, ["doc_id"]).count() == 0
 
 
+def test_every_ngram_is_a_seed(spark):
+    copies = [ITEM.copy() for _ in range(8)]
+    for k, words in enumerate(copies[:4]):
+        words[k::4] = [f"x{k}"] * len(words[k::4])  # every fourth word replaced
+    for k, words in enumerate(copies[4:]):
+        words[k::4] = [f"y{k}"] * len(words[k::4])
+    rows = [(k, " ".join(words)) for k, words in enumerate(copies)] + [(k, " ".join(ITEM)) for k in range(8, 10)]
+    items = spark.createDataFrame([(10, " ".join(ITEM))], "item_id long, text string")
+    for own in (rows, *([r] for r in rows)):
+        got = {r.doc_id: r.leaks for r in decontaminate.find_leaks(docs(spark, own), items, ["doc_id"]).collect()}
+        assert len(got) == len(own) and all(x and x[0].score > 0.5 for x in got.values())
+
+
+def test_windows_of_seeds_reach_left():
+    words = np.arange(1, 21, dtype=np.uint64)
+    items = decontaminate.Items([1], [b"a b c d e f g h i j a b c k l m n o p q"], 3)
+    item = items.words[0]
+    text = np.concatenate([words, item[10:], words])
+    hits = np.array([20, 20 + 1, 20 + 4])
+    which = np.searchsorted(items.seeds, decontaminate.shingles(text, 3)[hits])
+    assert decontaminate.leaks_of(items, text, hits, which, 0.5, 8)[0][1:] == (10, 20, 30)
+
+
 def test_alignment_against_plain_dynamic_programming():
     r = np.random.default_rng(1)
     for _ in range(100):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LIMIT = 1_000_000
+LIMIT = 4_000_000
 EDGE = "source string, relation string, target string, source_type string"
 COLUMNS = ["source", "relation", "target", "source_type"]
 

@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 
 def _small(spark, d):
-    """The edges without orders and suppliers' parts: a graph that a sequential step can take whole."""
+    """The edges without orders and suppliers' parts, for the queries whose SQL has the same part; each has a twin, named _whole, over all edges."""
     return ad.kg_edges(spark, d).where("relation in ('inRegion', 'inNation', 'hasBrand')")
 
 
@@ -237,8 +237,8 @@ def stratified_sample(spark, d):
     return sampling.stratified_fraction(ad.kg_edges(spark, d), 0.37, 7)
 
 
-def _paired_sql() -> str:
-    out, left = [], "small"
+def _paired_sql(left: str = "small") -> str:
+    out = []
     for part, n in (("shared", 30), ("first", 70), ("second", 70)):
         q = _QUOTA.format(kg=left, want=str(n)).replace("sizes", f"z_{part}").replace("tot ", f"t_{part} ").replace(", tot", f", t_{part}").replace("ex AS", f"x_{part} AS").replace("FROM ex)", f"FROM x_{part})").replace("fl AS (SELECT", f"f_{part} AS (SELECT").replace("FROM fl)", f"FROM f_{part})").replace("quota AS (SELECT relation", f"q_{part} AS (SELECT relation")
         md = MD.format("'3'", f"'{part}'")
@@ -252,6 +252,11 @@ def paired_overlap_sample(spark, d):
     return sampling.paired(_small(spark, d), 100, 0.3, 3)
 
 
+@query(f"WITH {KG}, {_paired_sql('kg')} SELECT *, 'shared' AS part FROM s_shared UNION ALL SELECT *, 'first' FROM s_first UNION ALL SELECT *, 'second' FROM s_second")
+def paired_overlap_sample_whole(spark, d):
+    return sampling.paired(ad.kg_edges(spark, d), 100, 0.3, 3)
+
+
 _PROBE = f"""{_UT}, fit AS (SELECT relation FROM (SELECT DISTINCT source, relation, target FROM kg) GROUP BY relation HAVING count(*) >= 20 INTERSECT SELECT relation FROM usable GROUP BY relation HAVING count(*) >= 5),
 probe AS (SELECT 'entity' AS track, source, relation, target FROM (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY md5('11|entity|' || source || '|' || relation || '|' || target), source, target) AS k FROM usable WHERE relation IN (SELECT relation FROM fit)) WHERE k <= 5)"""
 
@@ -302,7 +307,18 @@ short AS (SELECT relation, source_type, quota - coalesce(h, 0) AS short FROM quo
 fill AS (SELECT small.* FROM small JOIN short USING (relation, source_type) WHERE relation <> 'inRegion' ORDER BY short DESC, {MD.format("'4'", "'fill'")}, source, relation, target, source_type LIMIT 75)
 SELECT * FROM cov UNION ALL SELECT source, relation, target, source_type FROM fill""")
 def coverage_first_fill(spark, d):
-    e = _small(spark, d)
+    return _coverage_first_fill(_small(spark, d))
+
+
+@query(f"""WITH {KG}, cov AS (SELECT * FROM kg WHERE relation = 'inRegion'), {_QUOTA.format(kg='kg', want='round_even(sum(n) * 0.5, 0)')},
+short AS (SELECT relation, source_type, quota - coalesce(h, 0) AS short FROM quota LEFT JOIN (SELECT relation, source_type, count(*) AS h FROM cov GROUP BY ALL) USING (relation, source_type)),
+fill AS (SELECT kg.* FROM kg JOIN short USING (relation, source_type) WHERE relation <> 'inRegion' ORDER BY short DESC, {MD.format("'4'", "'fill'")}, source, relation, target, source_type LIMIT 75)
+SELECT * FROM cov UNION ALL SELECT source, relation, target, source_type FROM fill""")
+def coverage_first_fill_whole(spark, d):
+    return _coverage_first_fill(ad.kg_edges(spark, d))
+
+
+def _coverage_first_fill(e):
     return sampling.coverage_fill(e, e.where("relation = 'inRegion'"), 100, 0.5, 4)
 
 
@@ -310,18 +326,28 @@ def coverage_first_fill(spark, d):
 fill AS (SELECT small.* FROM small JOIN di a ON a.node = source JOIN di b ON b.node = target WHERE relation <> 'inRegion' ORDER BY a.degree + b.degree DESC, {MD.format("'4'", "'dense'")}, source, relation, target, source_type LIMIT 75)
 SELECT * FROM small WHERE relation = 'inRegion' UNION ALL SELECT source, relation, target, source_type FROM fill""")
 def dense_control_fill(spark, d):
-    e = _small(spark, d)
+    return _dense_control_fill(_small(spark, d))
+
+
+@query(f"""WITH {KG}, ends AS (SELECT source AS node FROM kg UNION ALL SELECT target FROM kg), di AS (SELECT node, count(*) AS degree FROM ends GROUP BY node),
+fill AS (SELECT kg.* FROM kg JOIN di a ON a.node = source JOIN di b ON b.node = target WHERE relation <> 'inRegion' ORDER BY a.degree + b.degree DESC, {MD.format("'4'", "'dense'")}, source, relation, target, source_type LIMIT 75)
+SELECT * FROM kg WHERE relation = 'inRegion' UNION ALL SELECT source, relation, target, source_type FROM fill""")
+def dense_control_fill_whole(spark, d):
+    return _dense_control_fill(ad.kg_edges(spark, d))
+
+
+def _dense_control_fill(e):
     return sampling.dense_fill(e, e.where("relation = 'inRegion'"), 100, 4)
 
 
 @query()
 def greedy_capped_graph(spark, d):
-    return greedy.capped_graph(_small(spark, d), 12, ["source", "relation", "target"])
+    return greedy.capped_graph(ad.kg_edges(spark, d), 12, ["source", "relation", "target"])
 
 
 @query()
 def backbone_bfs(spark, d):
-    e = _small(spark, d).select(F.col("target").alias("source"), "relation", F.col("source").alias("target"), "source_type")
+    e = ad.kg_edges(spark, d).select(F.col("target").alias("source"), "relation", F.col("source").alias("target"), "source_type")
     lemmas = g.endpoints(e).select("node", F.col("node").alias("lemma"))
     return greedy.backbone(e, lemmas, ["r:0", "r:1", "r:2", "r:3", "r:4"], ["inRegion", "inNation"], 200, 30, 3)
 
@@ -342,12 +368,12 @@ def low_degree_repair(spark, d):
 
 @query()
 def edge_cover(spark, d):
-    return greedy.edge_cover(_small(spark, d), 1)
+    return greedy.edge_cover(ad.kg_edges(spark, d), 1)
 
 
 @query()
 def relation_first_repair(spark, d):
-    e = _small(spark, d).where("relation <> 'hasBrand'")
+    e = ad.kg_edges(spark, d)
     back = e.select(F.col("source"), F.concat(F.lit("also_"), "relation").alias("relation"), "target", "source_type")
     e = e.unionByName(back)
     return greedy.relation_first(e, sampling.stratified_fraction(e, 0.75, 1), 1)
@@ -355,12 +381,12 @@ def relation_first_repair(spark, d):
 
 @query()
 def relation_control(spark, d):
-    e = _small(spark, d)
+    e = ad.kg_edges(spark, d)
     return greedy.relation_control(e, sampling.stratified_fraction(e, 0.3, 1), sampling.quotas(e.where("relation <> 'inRegion'"), total=100).groupBy("relation").agg(F.sum("quota").alias("n")), 1)
 
 
 @query()
 def paired_coverage_repair(spark, d):
-    e = _small(spark, d)
+    e = ad.kg_edges(spark, d)
     p = written(sampling.paired(e, 150, 0.4, 3), "pair")
     return greedy.paired_repair(e, p.where("part = 'shared'").drop("part"), p.where("part = 'first'").drop("part"), 3)

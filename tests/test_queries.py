@@ -22,3 +22,26 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+WHOLE = ["greedy_capped_graph", "edge_cover", "relation_first_repair", "relation_control", "paired_coverage_repair", "paired_overlap_sample_whole", "coverage_first_fill_whole", "dense_control_fill_whole"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_takes_large_relations(spark, name):
+    rows = registry.QUERIES[name](spark, SF).collect()
+    assert {r.relation.removeprefix("also_") for r in rows} & {"placedBy", "suppliedBy"}
+    assert len({(r.source, r.relation, r.target, r.source_type) for r in rows}) == len(rows)
+
+
+def test_whole_cap_and_cover(spark):
+    from glossweave.sources import adapters
+
+    nodes = {n for r in adapters.kg_edges(spark, SF).collect() for n in (r.source, r.target)}
+    near = {}
+    for r in registry.QUERIES["greedy_capped_graph"](spark, SF).collect():
+        near.setdefault(r.source, set()).add(r.target)
+        near.setdefault(r.target, set()).add(r.source)
+    assert max(map(len, near.values())) == 12
+    for name in ("edge_cover", "relation_first_repair"):
+        assert {n for r in registry.QUERIES[name](spark, SF).collect() for n in (r.source, r.target)} == nodes

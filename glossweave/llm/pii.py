@@ -25,18 +25,24 @@ _VALUE = "array<struct<kind: string, first: int, end: int, pseudonym: string>>"
 _VALUE_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("first", pa.int32()), ("end", pa.int32()), ("pseudonym", pa.string())]))
 MONTHS = "january february march april may june july august september october november december".split()
 
-_NUMBERS = r"""
-(?<![\w@])(?<![\w][.\-/])(?:
-  (?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)
- |(?P<date>\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4}
-   |\d{1,2}[ ](?:""" + "|".join(m.capitalize() for m in MONTHS) + r""")[ ]\d{4}|(?:""" + "|".join(m.capitalize() for m in MONTHS) + r""")[ ]\d{1,2},[ ]\d{4})
- |(?P<ip>\d{1,3}(?:\.\d{1,3}){3})
- |(?P<ssn>\d{3}-\d{2}-\d{4})
- |(?P<phone>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}|(?:\(\d{3}\)[ ]?|\d{3}[.\-])\d{3}[.\-]\d{4})
- |(?P<card>\d(?:[ \-]?\d){12,18})
-)(?![\w@])(?![.\-/]\d)"""
+_MONTH = "(?:" + "|".join(m.capitalize() for m in MONTHS) + ")"
+_KINDS = {
+    "iban": r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?",
+    "date": r"\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4}"
+    rf"|\d{{1,2}}[ ]{_MONTH}[ ]\d{{4}}|{_MONTH}[ ]\d{{1,2}},[ ]\d{{4}}",
+    "ip": r"\d{1,3}(?:\.\d{1,3}){3}",
+    "ssn": r"\d{3}-\d{2}-\d{4}",
+    "phone": r"\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}|(?:\(\d{3}\)[ ]?|\d{3}[.\-])\d{3}[.\-]\d{4}",
+    "card": r"\d(?:[ \-]?\d){12,18}",
+}
+_BEFORE, _AFTER = r"(?<![\w@])(?<![\w][.\-/])", r"(?![\w@])(?![.\-/]\d)"
+_NUMBERS = _BEFORE + "(?:" + "|".join(f"(?P<{k}>{v})" for k, v in _KINDS.items()) + ")" + _AFTER
 _EMAIL = r"(?<![\w.+%\-])(?P<email>[A-Za-z0-9_][A-Za-z0-9._%+\-]*)@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}(?![\w])"
-_PLAIN, _BOTH = re.compile(_NUMBERS, re.X), re.compile(rf"(?:{_EMAIL})|(?:{_NUMBERS})", re.X)
+_PLAIN, _BOTH = re.compile(_NUMBERS), re.compile(rf"(?:{_EMAIL})|(?:{_NUMBERS})")
+_START, _END = re.compile(_BEFORE + r"[\w+(]"), re.compile(_AFTER)
+#: Within a failed match a card counts only as cards are grouped; of the parts of a row of small numbers some always pass Luhn.
+_PARTS = {k: re.compile(v) for k, v in _KINDS.items()} | {"card": re.compile(r"\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1(?:\d{1,7}|\d{4}\1\d{1,3})|\d{4}([ \-])\d{6}\2\d{4,5}|\d{6}[ \-]\d{13}")}
+_LONGEST = 50  # characters of the longest value: a phone or an IBAN with its spaces
 _DIGIT = re.compile(r"\d")
 
 
@@ -183,22 +189,42 @@ def _email(local: str, key: bytes) -> str:
 KINDS: dict[str, Callable[[str, bytes], str | None]] = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
+def _within(text: str, begin: int, stop: int, key: bytes) -> list[tuple[int, int, str, str]]:
+    """The valid values that start within a match that failed as a whole: the longest first, none over another."""
+    found = []
+    for first in range(begin, stop):
+        if not _START.match(text, first):
+            continue
+        for end in range(first + 7, min(len(text), first + _LONGEST) + 1):
+            if _END.match(text, end):
+                for kind, part in _PARTS.items():
+                    if part.fullmatch(text, first, end) and (new := KINDS[kind](text[first:end], key)) is not None:
+                        found.append((first, end, kind, new))
+    out: list[tuple[int, int, str, str]] = []
+    for f in sorted(found, key=lambda f: (f[0] - f[1], f[0])):
+        if all(f[1] <= o[0] or o[1] <= f[0] for o in out):
+            out.append(f)
+    return sorted(out)
+
+
 def pseudonymized(text: str, key: bytes) -> tuple[str, list[dict]]:
     """The text with pseudonyms, and each value's kind, place in the result, and pseudonym."""
     if "@" not in text and not _DIGIT.search(text):
         return text, []
-    out, values, done, length = [], [], 0, 0
-    for m in (_BOTH if "@" in text else _PLAIN).finditer(text):
+    out, values, done, length, at = [], [], 0, 0, 0
+    pattern = _BOTH if "@" in text else _PLAIN
+    while m := pattern.search(text, at):
         kind = m.lastgroup
         new = KINDS[kind](m[kind], key)
-        if new is None:
-            continue
-        out.append(text[done : m.start(kind)])
-        length += len(out[-1])
-        values.append({"kind": kind, "first": length, "end": length + len(new), "pseudonym": new})
-        out.append(new)
-        length += len(new)
-        done = m.end(kind)
+        found = _within(text, m.start(), m.end(), key) if new is None else [(m.start(kind), m.end(kind), kind, new)]
+        for first, end, kind, new in found:
+            out.append(text[done:first])
+            length += len(out[-1])
+            values.append({"kind": kind, "first": length, "end": length + len(new), "pseudonym": new})
+            out.append(new)
+            length += len(new)
+            done = end
+        at = max(m.end(), done)
     return "".join([*out, text[done:]]), values
 
 
@@ -219,7 +245,8 @@ def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
 
     Kinds: cards (13 to 19 digits, Luhn), phones (7 to 15 digits written as a phone), IPv4 addresses, social
     security numbers (valid ranges), IBANs (mod 97), dates (a real day of the years 1 to 9999), and the local parts of e-mail
-    addresses. What fails its validation stays as it is. A null text stays null without values; an empty one empty.
+    addresses. What fails its validation stays as it is, but the valid values within it (cards there only in their usual
+    groups) do not. A null text stays null without values; an empty one empty.
     Null and repeated ids pass through; an empty table gives no rows. Rows never meet: no shuffle.
     """
     ship(docs.sparkSession)

@@ -478,6 +478,17 @@ def test_formats_stay_valid():
         assert kept in new
 
 
+def test_values_beside_other_numbers():
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    for value, text in ((card, f"pay {card} 123"), (card, f"order 12345 {card}"), (card, f"77 {card} 123."), (iban, f"{iban} WITH"), (iban, f"from {iban} ON 4 MAY"), ("2020-02-29", "4111 1111 2020-02-29")):
+        alone = pii.pseudonymized(value, KEY)[0]
+        new, values = pii.pseudonymized(text, KEY)
+        assert alone != value and new == text.replace(value, alone) and [v["pseudonym"] for v in values] == [alone]
+        assert new[values[0]["first"] : values[0]["end"]] == alone
+    for kept in ("3 17 25 8 19 44 2 31 7 12 5 9 14 28", "4111 1111 1111 1112 123"):
+        assert pii.pseudonymized(kept, KEY) == (kept, [])
+
+
 def test_equal_values_stay_linked_and_others_apart():
     days = [datetime.date(2000, 1, 1) + datetime.timedelta(k) for k in range(3000)]
     new = [pii.pseudonymized(d.isoformat(), KEY)[0] for d in days]

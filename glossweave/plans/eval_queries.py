@@ -136,7 +136,10 @@ def _sentence_tokens(spark, d):
 
 
 def _sentence_vectors(spark, d, exclude=None):
-    t = _sentence_tokens(spark, d)
+    return _pooled(spark, d, _sentence_tokens(spark, d), exclude)
+
+
+def _pooled(spark, d, t, exclude=None):
     v = t.select("token").distinct().withColumn("id", ((F.ascii("token") * 7 + F.length("token")) % 500).cast("long")).join(ad.vectors(spark, d).select("id", "vec"), "id").select("token", "vec")
     return retrieval.pooled_sentences(t, v, 64, exclude)
 
@@ -149,9 +152,9 @@ gold AS (SELECT id AS q, id - 1 AS gold FROM pn WHERE id % 100 = 1), p AS (SELEC
 SELECT count(*) AS queries, round(avg(coalesce((place <= 1)::DOUBLE, 0)), 6) AS p1, round(avg(coalesce((place <= 5)::DOUBLE, 0)), 6) AS p5 FROM p"""
 
 
-def _retrieve_sentences(v):
+def _retrieve_sentences(v, step=100):
     v = v.withColumnRenamed("sentence", "id")
-    q, g = v.where("id % 100 = 1"), v.where("id % 100 = 0")
+    q, g = v.where(f"id % {step} = 1"), v.where(f"id % {step} = 0")
     return retrieval.precision_at_k(retrieval.top_k(q, g, 5), q.select(F.col("id").alias("q"), (F.col("id") - 1).alias("gold")), [1, 5])
 
 
@@ -165,6 +168,30 @@ def sentence_retrieval_without_marks(spark, d):
     return _retrieve_sentences(_sentence_vectors(spark, d, [",", ".", ";", "*", "the", "de"]))
 
 
+#: The two above keep the first two turns, as their SQL does; these take all: each even turn and the one after it.
+_TURNS = 1_000_000
+
+
+def _all_turns_sql(where: str) -> str:
+    sql = _sr_sql(where).replace("conv_id * 100 + turn", f"conv_id * {_TURNS} + turn").replace(" FROM conversations WHERE turn < 2", " FROM conversations")
+    return sql.replace("id % 100 ", "id % 2 ")
+
+
+def _retrieve_all_turns(spark, d, exclude=None):
+    t = ad.table(spark, d, "conversations").select((F.col("conv_id") * _TURNS + F.col("turn")).alias("sentence"), F.explode(words(F.col("text"))).alias("token"))
+    return _retrieve_sentences(_pooled(spark, d, t, exclude), 2)
+
+
+@query(_all_turns_sql("true"))
+def sentence_retrieval_all_turns(spark, d):
+    return _retrieve_all_turns(spark, d)
+
+
+@query(_all_turns_sql("token NOT IN (',', '.', ';', '*', 'the', 'de')"))
+def sentence_retrieval_all_turns_without_marks(spark, d):
+    return _retrieve_all_turns(spark, d, [",", ".", ";", "*", "the", "de"])
+
+
 @query()
 def pca_2d(spark, d):
     out = retrieval.pca_2d(ad.vectors(spark, d))

@@ -45,3 +45,12 @@ def test_whole_cap_and_cover(spark):
     assert max(map(len, near.values())) == 12
     for name in ("edge_cover", "relation_first_repair"):
         assert {n for r in registry.QUERIES[name](spark, SF).collect() for n in (r.source, r.target)} == nodes
+
+
+@pytest.mark.parametrize("name", ["sentence_retrieval_all_turns", "sentence_retrieval_all_turns_without_marks"])
+def test_all_turns_are_retrieved(spark, name):
+    from glossweave.sources import adapters
+
+    odd = adapters.table(spark, SF, "conversations").where("turn % 2 = 1").count()
+    first = registry.QUERIES["sentence_retrieval"](spark, SF).first().queries
+    assert registry.QUERIES[name](spark, SF).first().queries == odd > first

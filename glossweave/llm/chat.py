@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import forget, written
 
 HEAD, COLON, TAIL = "### ", ": ", "</turn>\n"
 
@@ -43,14 +43,21 @@ def reply_paths(messages: DataFrame, top_k: int | None = None) -> DataFrame:
     present = nodes.select("tree", F.col("node").alias("parent"))
     linked = nodes.select("tree", "node", "parent").join(present, ["tree", "parent"])
     most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    jumps, step = [written(linked.select("tree", "node", F.col("parent").alias("above")), "chat-jumps")], 1
+    while step < most and not jumps[-1].isEmpty():
+        over = jumps[-1].select("tree", F.col("node").alias("low"), F.col("above").alias("node"))
+        jumps.append(written(over.join(jumps[-1], ["tree", "node"]).select("tree", F.col("low").alias("node"), "above"), "chat-jumps"))
+        step *= 2
+    endless = jumps[-1].select("tree", "node")  # as many steps up as a tree has messages: on a cycle, or hanging on one
     inner = linked.select("tree", F.col("parent").alias("node")).distinct()
-    path = nodes.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up"))
-    jump, step = written(linked.select("tree", "node", F.col("parent").alias("above")), "chat-jumps"), 1
-    while step < most and not jump.isEmpty():
-        longer = path.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + step).alias("up"))
-        path = written(path.unionByName(longer), "chat-paths")
-        over = jump.select("tree", F.col("node").alias("low"), F.col("above").alias("node"))
-        jump, step = written(over.join(jump, ["tree", "node"]).select("tree", F.col("low").alias("node"), "above"), "chat-jumps"), 2 * step
+    leaves = nodes.join(inner, ["tree", "node"], "left_anti").join(endless, ["tree", "node"], "left_anti")
+    path = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up"))
+    for k, jump in enumerate(jumps[:-1]):
+        longer = path.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        last, path = path, written(path.unionByName(longer), "chat-paths")
+        if k:
+            forget(last)
+        forget(jump)
     roots = nodes.select("tree", "node", "score").join(linked.select("tree", "node", F.lit(1).alias("has_parent")), ["tree", "node"], "left")
     scored = path.join(roots, ["tree", "node"])
     branch = scored.groupBy("tree", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("score"), F.max("up").alias("top"), F.max(F.col("has_parent").isNull()).alias("rooted")).where("rooted")
@@ -60,40 +67,42 @@ def reply_paths(messages: DataFrame, top_k: int | None = None) -> DataFrame:
 
 
 def format_paths(paths: DataFrame, messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """(tree, leaf, conversation, loss): turns in order, and start and length in characters of each text of loss_role.
+    """(tree, leaf, conversation, loss): turns in order, and for each turn the start and length in characters of its text
+    where its role is loss_role, else null.
 
     A turn is `### role: text</turn>` and a line end, with role and text escaped; a null role or text is empty.
     Of rows that repeat a node the smallest role and text count.
     """
     said = messages.groupBy("tree", "node").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("m")).select("tree", "node", "m.*")
-    turn = F.struct("depth", F.concat(F.lit(HEAD), _role(F.col("role")), F.lit(COLON)).alias("head"), escaped(F.col("text")).alias("body"), (F.col("role") == loss_role).alias("loss"))
-    turns = paths.join(said, ["tree", "node"]).groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    whole = F.array_join(F.transform("turns", lambda t: F.concat(t.head, t.body, F.lit(TAIL))), "")
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    head, body = F.concat(F.lit(HEAD), _role(F.col("role")), F.lit(COLON)), escaped(F.col("text"))
+    own = paths.join(said, ["tree", "node"]).select("tree", "leaf", "depth", head.alias("head"), body.alias("body"), (F.col("role") == loss_role).alias("loss"))
+    before = Window.partitionBy("tree", "leaf").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length("head") + F.length("body") + len(TAIL)).over(before), F.lit(0)) + F.length("head")
+    span = F.when(F.col("loss"), F.struct(F.col("at").alias("start"), F.length("body").cast("long").alias("length")))
+    turn = F.struct("depth", F.concat("head", "body", F.lit(TAIL)).alias("said"), span.alias("span"))
+    turns = own.withColumn("at", at.cast("long")).groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    return turns.select("tree", "leaf", F.array_join(F.transform("turns", lambda t: t.said), "").alias("conversation"), F.transform("turns", lambda t: t.span).alias("loss"))
 
-    def add(acc: Column, t: Column) -> Column:
-        start = acc.at + F.length(t.head)
-        spans = F.when(t.loss, F.concat(acc.spans, F.array(F.struct(start.alias("start"), F.length(t.body).alias("length"))))).otherwise(acc.spans)
-        return F.struct((start + F.length(t.body) + len(TAIL)).alias("at"), spans.alias("spans"))
 
-    return turns.select("tree", "leaf", whole.alias("conversation"), F.aggregate("turns", empty, add, lambda acc: acc.spans).alias("loss"))
+def _pieces(conversation: Column) -> Column:
+    return F.filter(F.split(conversation, "</turn>\n"), lambda p: p != "")
 
 
 def parse(conversation: Column) -> Column:
     """The turns of a formatted conversation: an array of role and text."""
-    pieces = F.filter(F.split(conversation, "</turn>\n"), lambda p: p != "")
-    head = r"(?s)^### ((?:[^\\:]|\\.)*): "
+    head = r"(?s)^### ((?:[^\\:]++|\\.)*+): "  # possessive: matched by a loop, however long a role is
 
     def turn(p: Column) -> Column:
         role = F.regexp_extract(p, head, 1)
         return F.struct(unescaped(role).alias("role"), unescaped(F.substr(p, F.length(role) + len(HEAD) + len(COLON) + 1)).alias("text"))
 
-    return F.transform(pieces, turn)
+    return F.transform(_pieces(conversation), turn)
 
 
 def loss_text(conversation: Column, loss: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(loss, lambda s: unescaped(F.substr(conversation, s.start + 1, s.length))), "")
+    """All text under the loss mask, unescaped, nothing between. A span ends where its turn's text does."""
+    texts = F.zip_with(_pieces(conversation), loss, lambda p, s: F.when(s.isNotNull(), unescaped(F.substr(p, F.length(p) - s.length + 1))))
+    return F.array_join(texts, "")
 
 
 def chat_format(messages: DataFrame, top_k: int | None = None, loss_role: str = "assistant") -> DataFrame:

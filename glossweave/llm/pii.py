@@ -3,14 +3,17 @@
 A value is validated first (check digits, ranges, calendar), then permuted within its format under the key, so
 equal values have equal pseudonyms in all documents and different values different ones. Positions keep
 their class: a digit stays a digit, a letter a letter of its case. Where a format has invalid members the
-permutation is walked on until a valid one comes; check digits are computed anew. Dates are permuted as days of
-their century, so one day written in two ways stays one day (but numeric month-first dates keep a day above 12).
+permutation is walked on until a valid one comes, and members that are told apart (numbers that a country's plan allows and
+others) stay on their side, so two sides never meet; check digits are computed anew. A single position is permuted by a
+keyed order of its values. Dates are permuted as days of their century, one permutation for all spellings, in which days
+above 12 stay above 12: a numeric date with the month first stays readable as one.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -25,11 +28,16 @@ _VALUE = "array<struct<kind: string, first: int, end: int, pseudonym: string>>"
 _VALUE_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("first", pa.int32()), ("end", pa.int32()), ("pseudonym", pa.string())]))
 MONTHS = "january february march april may june july august september october november december".split()
 
-_MONTH = "(?:" + "|".join(m.capitalize() for m in MONTHS) + ")"
+#: Country calling codes of one and two digits; all others have three. Fixed values.
+SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+_MONTH = "(?:" + "|".join(f"{m.capitalize()}|{m[:3].capitalize()}[.]?" for m in MONTHS) + ")"
+_TH = "(?:st|nd|rd|th)?"
 _KINDS = {
     "iban": r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?",
     "date": r"\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4}"
-    rf"|\d{{1,2}}[ ]{_MONTH}[ ]\d{{4}}|{_MONTH}[ ]\d{{1,2}},[ ]\d{{4}}",
+    rf"|\d{{1,2}}{_TH}[ ]{_MONTH}[ ]\d{{4}}|{_MONTH}[ ]\d{{1,2}}{_TH},[ ]\d{{4}}",
+    "ip6": r"(?:[0-9A-Fa-f]{1,4}:){2,7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){2,7}:",
     "ip": r"\d{1,3}(?:\.\d{1,3}){3}",
     "ssn": r"\d{3}-\d{2}-\d{4}",
     "phone": r"\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}|(?:\(\d{3}\)[ ]?|\d{3}[.\-])\d{3}[.\-]\d{4}",
@@ -48,6 +56,8 @@ _DIGIT = re.compile(r"\d")
 
 def feistel(values: list[int], sizes: list[int], key: bytes, tweak: str) -> list[int]:
     """A keyed permutation of mixed-radix numbers: position k is below sizes[k]."""
+    if len(values) == 1:  # nothing to mix it with: the order of the values' keyed hashes
+        return [sorted(range(sizes[0]), key=lambda v: hashlib.blake2b(f"{tweak}|one|{v}".encode(), key=key[:64]).digest())[values[0]]]
     out, half = list(values), (len(values) + 1) // 2
     for r in range(ROUNDS):
         mine, other = (range(half), range(half, len(out))) if r % 2 else (range(half, len(out)), range(half))
@@ -103,8 +113,10 @@ def _card(text: str, key: bytes) -> str | None:
     digits = _digits(text)
     if not 13 <= len(digits) <= 19 or len(set(digits)) == 1 or not luhn(digits):
         return None
-    body = _letters(digits[:-1], key, "card", lambda k: k == 0)  # the first digit names the kind of card
-    return _fill(text, body + next(c for c in "0123456789" if luhn(body + c)))
+    whole = lambda b: b + next(c for c in "0123456789" if luhn(b + c))
+    # the first digit names the kind of card; a row of one digit is no card
+    body = _letters(digits[:-1], key, "card", lambda k: k == 0, lambda b: len(set(whole(b))) > 1)
+    return _fill(text, whole(body))
 
 
 def _ssn_valid(t: str) -> bool:
@@ -116,16 +128,42 @@ def _ssn(text: str, key: bytes) -> str | None:
 
 
 def _phone(text: str, key: bytes) -> str | None:
+    """A number of ten digits without a country is one of country 1, with or without its code."""
     digits = _digits(text)
-    if not 7 <= len(digits) <= 15 or len(set(digits)) == 1:
+    if not 7 <= len(digits) <= 15:
+        return None
+    code = "" if text[0] != "+" else next((digits[:n] for n in (1, 2) if digits[:n] in SHORT_CODES), digits[:3])
+    own = digits[len(code) :]
+    if len(set(own)) == 1:
+        return None
+    if len(own) == 10 and code in ("", "1"):
+        country, fits = "1", lambda d: d[0] >= "2" and d[3] >= "2"
+    else:
+        country, fits = code, lambda d: d[0] != "0"
+    side = fits(own)
+    return _fill(text, code + _letters(own, key, f"phone{country}", valid=lambda d: fits(d) == side and len(set(d)) > 1))
+
+
+def _ip6(text: str, key: bytes) -> str | None:
+    """Whole addresses, and shortened ones with three groups and a digit; written as the standard library does."""
+    try:
+        number = int(ipaddress.IPv6Address(text))
+    except ValueError:
+        return None
+    if "::" in text and (sum(map(bool, text.split(":"))) < 3 or not _DIGIT.search(text)):
+        return None
+    groups = [number >> 16 * k & 0xFFFF for k in range(8)]
+
+    def said(values: list[int]) -> str:
+        return ipaddress.IPv6Address(sum(v << 16 * k for k, v in enumerate(values))).compressed
+
+    # what would not be found again (a few groups, no digit) is no pseudonym
+    readable = lambda v: "::" not in said(v) or sum(map(bool, said(v).split(":"))) >= 3 and _DIGIT.search(said(v)) is not None
+    if not readable(groups):
         return None
-    code = re.match(r"\+1(?=\D)|\+\d{1,3}(?=[ .\-(])|\+\d{2}", text)
-    code = len(_digits(code[0])) if code else 0
-    american = len(digits) - code == 10 and (not code or digits[:code] == "1")
-    fits = (lambda d: d[0] >= "2" and d[3] >= "2") if american else (lambda d: d[0] != "0")
-    if not fits(digits[code:]):
-        fits = lambda d: True
-    return _fill(text, digits[:code] + _letters(digits[code:], key, f"phone{digits[:code]}", valid=fits))
+    new = walk(groups, [1 << 16] * 8, key, "ip6", readable)
+    out = said(new) if len(text) < 39 else ipaddress.IPv6Address(sum(v << 16 * k for k, v in enumerate(new))).exploded
+    return out.upper() if re.search("[A-F]", text) else out
 
 
 def _ip(text: str, key: bytes) -> str | None:
@@ -152,11 +190,11 @@ def _iban(text: str, key: bytes) -> str | None:
 
 def _date(text: str, key: bytes) -> str | None:
     """Day before month where both are numbers, unless only the other order is valid; a year of four digits."""
-    named = re.search(r"[A-Za-z]+", text)
+    named = re.search(r"[A-Z][a-z]+", text)
     numbers = [int(n) for n in re.findall(r"\d+", text)]
     if named:
         order = "dmy" if text[0].isdigit() else "mdy"
-        parts = {"m": MONTHS.index(named[0].lower()) + 1, "d": numbers[0], "y": numbers[1]}
+        parts = {"m": next(k for k, m in enumerate(MONTHS, 1) if m.startswith(named[0].lower())), "d": numbers[0], "y": numbers[1]}
     else:
         order = "ymd" if re.match(r"\d{4}", text) else "dmy"
         parts = dict(zip(order, numbers))
@@ -169,12 +207,15 @@ def _date(text: str, key: bytes) -> str | None:
     first = datetime.date(max(1, day.year // 100 * 100), 1, 1).toordinal()
     end = datetime.date(day.year // 100 * 100 + 99, 12, 31).toordinal()
     number = lambda v: first + v[0] * 200 + v[1]
-    # of a month-first date only days above 12 keep the order readable
-    fits = lambda v: number(v) <= end and (order != "mdy" or named or datetime.date.fromordinal(number(v)).day > 12)
+    late = day.day > 12
+    fits = lambda v: number(v) <= end and (datetime.date.fromordinal(number(v)).day > 12) == late
     moved = datetime.date.fromordinal(number(walk(list(divmod(day.toordinal() - first, 200)), [200, 200], key, f"date{day.year // 100}", fits)))
     if named:
         name = MONTHS[moved.month - 1].capitalize()
-        return f"{moved.day} {name} {moved.year:04d}" if order == "dmy" else f"{name} {moved.day}, {moved.year:04d}"
+        if len(named[0]) == 3 and (parts["m"] != 5 or "." in text):  # May is both
+            name = name[:3] + ("." if "." in text else "")
+        th = {1: "st", 2: "nd", 3: "rd"}.get(moved.day % 10 if moved.day // 10 != 1 else 0, "th") if re.search(r"\d(?:st|nd|rd|th)", text) else ""
+        return f"{moved.day}{th} {name} {moved.year:04d}" if order == "dmy" else f"{name} {moved.day}{th}, {moved.year:04d}"
     new = {"d": moved.day, "m": moved.month, "y": moved.year}
     widths = [len(n) for n in re.findall(r"\d+", text)]
     padded = all(w == 2 for c, w in zip(order, widths) if c != "y")
@@ -186,7 +227,7 @@ def _email(local: str, key: bytes) -> str:
     return _letters(local, key, "email")
 
 
-KINDS: dict[str, Callable[[str, bytes], str | None]] = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
+KINDS: dict[str, Callable[[str, bytes], str | None]] = {"email": _email, "iban": _iban, "date": _date, "ip6": _ip6, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
 def _within(text: str, begin: int, stop: int, key: bytes) -> list[tuple[int, int, str, str]]:
@@ -243,9 +284,9 @@ def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     """One row for each row of docs: doc_id, text with pseudonyms, values (kind, first, end, pseudonym; places are
     characters of the new text).
 
-    Kinds: cards (13 to 19 digits, Luhn), phones (7 to 15 digits written as a phone), IPv4 addresses, social
-    security numbers (valid ranges), IBANs (mod 97), dates (a real day of the years 1 to 9999), and the local parts of e-mail
-    addresses. What fails its validation stays as it is, but the valid values within it (cards there only in their usual
+    Kinds: cards (13 to 19 digits, Luhn), phones (7 to 15 digits written as a phone), IPv4 and IPv6 addresses, social
+    security numbers (valid ranges), IBANs (mod 97), dates (a real day of the years 1 to 9999, the year in four digits, months as
+    numbers, names or three letters), and the local parts of e-mail addresses. What fails its validation stays as it is, but the valid values within it (cards there only in their usual
     groups) do not. A null text stays null without values; an empty one empty.
     Null and repeated ids pass through; an empty table gives no rows. Rows never meet: no shuffle.
     """

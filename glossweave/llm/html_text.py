@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_COMMENT = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: The rest of a tag. Possessive: one pass, whether it matches or not.
+_QUOTED_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_PLAIN_REST = re.compile(r"([^>]*+)>")
+_ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 #: Elements whose text is never shown as text of the page.
@@ -48,16 +53,56 @@ class Line:
     text: str
     linked: int  # characters in links
     outside: bool
-    holders: tuple[int, ...]  # numbers of the articles and mains around it, the innermost last
+    holders: tuple | None  # the innermost article or main around it: its number, and the same of the one around that
     parent: int  # number of the innermost element that holds lines
 
 
+def _tags(page: str) -> Generator[tuple[str, str, str, str, int], int | None, None]:
+    """(text before it, "/" or nothing, name, attributes, end) of each tag, the last one without a name, in one pass. A place
+    that is sent is where it goes on.
+
+    A quoted value may hold `>`. Where a tag's quotes never end, quotes mean nothing from there on; a `<` with no `>`
+    after it is text.
+    """
+    at = begin = 0
+    last, rest = page.rfind(">"), _QUOTED_REST
+    parts: list[str] = []
+    while 0 <= (at := page.find("<", at)) < last:
+        parts.append(page[begin:at])
+        begin = at
+        if m := _COMMENT.match(page, at):
+            if m[0].startswith("<![CDATA["):
+                parts.append(html.escape(m[0][9:].removesuffix("]]>")))
+            at = begin = m.end()
+        elif page.startswith(("<!", "<?"), at):
+            at = begin = page.index(">", at) + 1
+        elif m := _NAME.match(page, at):
+            tail = rest.match(page, m.end())
+            if not tail and rest is _QUOTED_REST:
+                rest = _PLAIN_REST
+                tail = rest.match(page, m.end())
+            if not tail:
+                break
+            before = "".join(parts)
+            parts.clear()
+            jump = yield before, m[1], m[2].lower(), tail[1], tail.end()
+            if jump is not None:
+                yield "", "", "", "", jump  # what send gives back
+            at = begin = tail.end() if jump is None else jump
+        else:
+            at += 1
+    parts.append(page[begin:])
+    yield "".join(parts), "", "", "", len(page)
+
+
 def lines_of(page: str) -> list[Line]:
     """The page's blocks in order: one for each run of text between block elements."""
     out: list[Line] = []
     parts: list[str] = []
     linked, in_link, number = 0, 0, 0
-    stack: list[tuple[str, bool, tuple[int, ...], int]] = [("", False, (), 0)]  # name, outside, holders, number
+    stack: list[tuple[str, bool, tuple | None, int]] = [("", False, None, 0)]  # name, outside, holders, number
+    opened: Counter[str] = Counter()  # how many of each name are on the stack
+    last = page.rfind(">") + 1
 
     def end_line() -> None:
         nonlocal linked
@@ -76,25 +121,23 @@ def lines_of(page: str) -> list[Line]:
         if in_link:
             linked += len(text)
 
-    at, size = 0, len(page)
-    while at < size:
-        m = _TOKEN.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
+    def push(name: str, outside: bool, holders: tuple | None, parent: int) -> None:
+        stack.append((name, outside, holders, parent))
+        opened[name] += 1
+
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
+
+    tags = _tags(page)
+    for text, closing, name, attributes, at in tags:
+        if text:
+            add(text)
         if not name:
-            if m[0].startswith("<![CDATA["):
-                add(html.escape(m[0][9:].removesuffix("]]>")))
             continue
-        closing = m[1] == "/"
         if name in RAW:
-            if not closing and not m[0].endswith("/>"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
+            if not closing and not attributes.endswith("/"):
+                end = re.compile(rf"</{re.escape(name)}\b[^>]*+>", re.I).search(page, at, last)
+                tags.send(end.end() if end else len(page))
             continue
         if name == "br":
             add(" ")
@@ -104,29 +147,29 @@ def lines_of(page: str) -> list[Line]:
         if name == "a":
             in_link = 0 if closing else 1
         if name in INLINE:
-            if not closing and m[3] and _outside(name, m[3]):
-                stack.append((name, True, stack[-1][2], stack[-1][3]))  # its text is dropped, the block goes on
+            if not closing and attributes and _outside(name, attributes):
+                push(name, True, stack[-1][2], stack[-1][3])  # its text is dropped, the block goes on
             elif closing and stack[-1][0] == name:
-                stack.pop()
+                pop()
             continue
         end_line()
         in_link = 0
         if name == "hr":
             continue
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if opened[name]:
+                while stack[-1][0] != name:
+                    pop()
+                pop()
             continue
         while stack[-1][0] in INLINE or name in ENDS.get(stack[-1][0], ()):
-            stack.pop()  # elements that end where the next one begins
+            pop()  # elements that end where the next one begins
         number += 1
         _, outside, holders, parent = stack[-1]
-        outside = outside or name in OUTSIDE or name == "header" and not holders or name not in KEEP and _outside(name, m[3])
+        outside = outside or name in OUTSIDE or name == "header" and not holders or name not in KEEP and _outside(name, attributes)
         if name in ("article", "main"):
-            holders = (*holders, number)
-        stack.append((name, outside, holders, parent if name in SINGLE else number))
+            holders = (number, holders)
+        push(name, outside, holders, parent if name in SINGLE else number)
     end_line()
     return out
 
@@ -174,8 +217,13 @@ def _dives(lengths: list[int], window: int) -> list[bool]:
 
 def _marked(own: list[Line], lengths: list[int], first: int, end: int, window: int) -> list[Line]:
     """The marked lines of the region and, up to the next dive, those to the ends of the elements that hold its text."""
-    touched = {h for x, n in zip(own[first:end], lengths[first:end]) if n for h in x.holders}
-    inside = [k for k, x in enumerate(own) if x.holders and (first <= k < end or x.holders[-1] in touched)]
+    touched: set[int] = set()
+    for x, n in zip(own[first:end], lengths[first:end]):
+        around = x.holders if n else None
+        while around and around[0] not in touched:
+            touched.add(around[0])
+            around = around[1]
+    inside = [k for k, x in enumerate(own) if x.holders and (first <= k < end or x.holders[0] in touched)]
     dives = _dives([lengths[k] for k in inside], window)
     found = [i for i, k in enumerate(inside) if first <= k < end]
     begin, stop = found[0], found[-1] + 1

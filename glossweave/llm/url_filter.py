@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hot_join, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,7 +67,7 @@ def reputations(outcomes: DataFrame, suffixes: tuple[str, ...] = (), z: float =
     good; a host may have several rows), and one row of level `all`; mean and upper are of the posterior (normal approximation, z deviations)."""
     suffix = suffix_of(F.col("host"), suffixes)
     hosts = outcomes.where("host is not null and n > 0").groupBy("host").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    hosts = hosts.withColumn("suffix", suffix).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+    hosts = written(hosts.withColumn("suffix", suffix).withColumn("domain", domain_of(F.col("host"), F.col("suffix"))), "host-outcomes")  # each level is summed from it
     sums = [F.sum("n").alias("n"), F.sum("x").alias("x")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     tops = domains.groupBy("suffix").agg(*sums)
@@ -103,12 +105,12 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], i
     own = own.withColumns({"rule": rule, "told": verdict, "suffix": suffix_of(F.col("host"), suffixes)})
     known = reputations(outcomes, suffixes)
     every = known.where("level = 'all'").first()
-    hosts = own.select("host", "suffix").distinct().withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+    hosts = own.groupBy("host", "suffix").agg(F.count("*").alias("pages")).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
     of = {level: known.where(F.col("level") == level).select(F.col("name").alias(level), F.col("upper").alias(f"{level}_upper")) for level in ("host", "domain", "suffix")}
     hosts = hosts.join(of["host"], "host", "left").join(of["domain"], "domain", "left").join(of["suffix"], "suffix", "left")
     upper = F.coalesce("host_upper", "domain_upper", "suffix_upper", F.lit(every.upper if every.n else 1.0))
     level = F.when(F.col("host_upper").isNotNull(), "host").when(F.col("domain_upper").isNotNull(), "domain").when(F.col("suffix_upper").isNotNull(), "suffix").otherwise("all")
-    judged = own.drop("suffix").join(hosts.select("host", level.alias("level"), upper.alias("upper")), "host")
+    judged = hot_join(own.drop("suffix"), hosts.select("host", "pages", level.alias("level"), upper.alias("upper")), "host", "pages")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("told", F.when(F.col("upper") < least_good, "block").otherwise("allow")).alias("verdict"), "level", "upper")
 
 

@@ -20,8 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
-from .common import ship
+from .common import row_of, ship, with_row, written
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SPAN = "array<struct<first: int, end: int, probability: double>>"
@@ -230,13 +232,13 @@ def fit(texts: list[str], toxic: list[int], least: int = 3, ratio: float = 3.0,
     return Model({listed[i]: float(weights[i]) for i in used}, float(bias), transition, float(start), tuple(float(v) for v in d))
 
 
-def _tag(model: Model, carry: int, span_least: float):
+def _tag(model: Model, span_least: float):
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 500):  # what is in memory does not grow with Arrow's batches
                 b = whole.slice(at, 500)
-                texts = b.column(carry).to_pylist()
+                texts = b.column(1).to_pylist()
                 emissions, bounds = [], np.zeros(len(texts) + 1, np.int64)
                 for k, t in enumerate(texts):
                     ws = _WORD.findall(t)
@@ -258,16 +260,18 @@ def _tag(model: Model, carry: int, span_least: float):
                                 spans[k][-1] |= {"end": m.end(), "probability": max(spans[k][-1]["probability"], float(own[i]))}
                             else:
                                 spans[k].append({"first": m.start(), "end": m.end(), "probability": float(own[i])})
-                yield pa.RecordBatch.from_arrays([*b.columns[:carry], pa.array(scores), pa.array(spans, _SPAN_ARROW)], names=[*b.schema.names[:carry], "score", "spans"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array(spans, _SPAN_ARROW)], names=["row", "score", "spans"])
 
     return tag
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, where=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 4000) -> Model:
-    """Fit on labelled rows of docs, at most `most`: the first half of each label by a hash of the id.
+def fit_on(docs: DataFrame, labels: DataFrame, where=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 4000, most_chars: int = 32 << 20) -> Model:
+    """Fit on labelled rows of docs, at most `most`: the first half of each label by a hash of the id; the texts with the
+    smallest such hashes that have at most most_chars characters together.
 
-    The bound holds what the driver gets; rows with a null id, text or label, and those that `where`
-    (a condition on the id column) leaves out, are not used. A label that repeats counts as toxic if one of its rows is.
+    Both bounds hold what the driver gets, whatever the lengths of texts are. Rows with a null id, text or label, and those
+    that `where` (a condition on the id column) leaves out, are not used. Of rows that share an id the least text is used.
+    A label that repeats counts as toxic if one of its rows is.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("key")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("mark"))
     if where is not None:
@@ -277,18 +281,28 @@ def fit_on(docs: DataFrame, labels: DataFrame, where=None, id_col: str = "doc_id
     keys = {r.key: r.mark for c in chosen for r in c.collect()}
     ids = docs.sparkSession.createDataFrame([(k,) for k in keys], "key long")
     own = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("body")).where("body is not null")
-    rows = sorted(own.join(F.broadcast(ids), "key").collect())  # no more ids than `most`
+    one = own.join(F.broadcast(ids), "key").groupBy("key").agg(F.min("body").alias("body"))  # no more ids than `most`
+    sized = written(one.withColumn("chars", F.length("body")).withColumn("place", F.xxhash64(F.col("key").cast("string"))), "fit")
+    until = sized.select("key", "place", F.sum("chars").over(Window.orderBy("place", "key")).alias("sum")).where(F.col("sum") <= most_chars)  # `most` rows of numbers
+    fits = {r.key for r in until.select("key").collect()}
+    rows = sorted(r for r in sized.where(F.col("key").isin(list(fits))).select("key", "body").toLocalIterator()) if fits else []
     return fit([r.body for r in rows], [keys[r.key] for r in rows])
 
 
+def scored_rows(docs: DataFrame, model: Model, text_col: str = "text", span_least: float = 0.5, columns: list[str] | None = None) -> DataFrame:
+    """row (a struct of `columns`; None: all of docs), score and spans; see score. No name of a column can clash."""
+    ship(docs.sparkSession)
+    own = docs.select(row_of(docs if columns is None else docs.select(*columns)), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    kind = StructType([own.schema["row"], *StructType.fromDDL(f"score double, spans {_SPAN}").fields])
+    return own.mapInArrow(_tag(model, span_least), kind)
+
+
 def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text", span_least: float = 0.5) -> DataFrame:
     """The columns `carry` of docs, score (0 to 1, higher is likelier toxic) and spans: characters first to end
-    and the largest probability of each run of probable words.
+    and the largest probability of each run of probable words. A carried column called score or spans comes back
+    as score_carried or spans_carried.
 
     A null text is an empty one; texts without words score by the model's intercept. Null and repeated ids pass
     through; an empty table gives no rows. Rows never meet: no shuffle.
     """
-    ship(docs.sparkSession)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for c in carry for f in docs.schema.fields if f.name == c]
-    body = docs.select(*carry, F.coalesce(F.col(text_col), F.lit("")).alias("__body"))
-    return body.mapInArrow(_tag(model, len(carry), span_least), ", ".join([*fields, "score double", f"spans {_SPAN}"]))
+    return with_row(scored_rows(docs, model, text_col, span_least, carry), carry, ["score", "spans"])

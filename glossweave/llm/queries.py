@@ -57,7 +57,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.jaccard_classes(table(spark, sf_dir, "documents"))
+    return near_dup.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:

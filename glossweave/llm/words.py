@@ -1,45 +1,31 @@
-"""Words of whole Arrow columns and their 64-bit hashes, by numpy.
+"""Words of whole Arrow columns and their 64-bit hashes.
 
-A word is a run of bytes other than space and 0x09-0x0D, with A-Z lower-cased.
+A word is a run of bytes other than space and 0x09-0x0D, with A-Z lower-cased. Arrow numbers the different words of a
+run of texts by their bytes; each of those is hashed once, by XXH3.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _U = np.uint64
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _RANDOM.integers(1, 2**63, 256, dtype=_U) * _U(2) + _U(1)
-_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: A second way to part words: at every ASCII byte that is no letter or digit.
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_STEP = int(_RANDOM.integers(2**62, 2**63, dtype=_U)) * 2 + 1
-_BACK = pow(_STEP, -1, 2**64)
+_SEED = int(_RANDOM.integers(2**62, 2**63, dtype=_U))
 _PLACE = _RANDOM.integers(1, 2**63, 64, dtype=_U) * _U(2) + _U(1)
 CHUNK = 1 << 20
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, _U(base))
-    out[0] = _U(1)
-    return np.cumprod(out, dtype=_U)
-
-
-class _Powers:
-    up = down = np.ones(1, _U)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            cls.up, cls.down = _powers(_STEP, n), _powers(_BACK, n)
-        return cls.up, cls.down
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
@@ -70,7 +56,6 @@ def word_hashes(texts: pa.Array, space: np.ndarray = _SPACE) -> Iterator[tuple[i
             yield row, np.zeros(to - row + 1, np.int64), np.zeros(0, _U), empty, empty
             row = to
             continue
-        up, down = _Powers.of(n + 1)
         inside = ~space[raw]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
@@ -80,9 +65,11 @@ def word_hashes(texts: pa.Array, space: np.ndarray = _SPACE) -> Iterator[tuple[i
         first[cut] = inside[cut]
         last[cut - 1] = inside[cut - 1]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        sums = np.zeros(n + 1, _U)
-        np.cumsum(_BYTE[raw] * up[:n], dtype=_U, out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * down[starts])
+        letters = _LOWER[raw[inside]]
+        places = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(letters)]).dictionary_encode()
+        known = np.fromiter(map(xxhash.xxh3_64_intdigest, found.dictionary.to_pylist(), repeat(_SEED)), _U, len(found.dictionary))
+        hashes = known[found.indices.to_numpy()]
         bounds = np.searchsorted(starts, at)
         base = np.repeat(at[:-1], np.diff(bounds))
         yield row, bounds, hashes, starts - base, ends - base

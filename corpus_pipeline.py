@@ -1,8 +1,9 @@
 """The corpus pipeline: toxic documents go, then exact copies, near copies and benchmark leaks; the rest is encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
-next stage's docs. All but the last return the columns of documents. Null and repeated ids pass
-through every stage that does not reject them; an empty table stays empty.
+next stage's docs. All but the last return the columns of documents, whatever columns docs has besides doc_id and text.
+Stages judge rows, not ids: rows that share an id, or have none, stay or go each by its own text. Of rows that
+repeat both id and text one stays, as of all equal texts. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -17,25 +18,28 @@ from glossweave.llm.queries import bpe_digests, held_out
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go. The model is fitted on labelled rows of docs."""
     model = toxicity.fit_on(docs, common.table(spark, sf_dir, "labels"), where=lambda key: ~held_out(key))
-    return toxicity.score(docs, model, docs.columns).where("score < 0.5").select(*docs.columns)
+    return toxicity.scored_rows(docs, model).where("score < 0.5").select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
-    gone = exact_dedup.exact_dedup(docs, keep="largest").where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of equal texts the document with the largest id stays; one without an id only if none has one."""
+    rows = exact_dedup.exact_dedup(docs, keep="largest")
+    verdict = F.when(F.col("group_size") == 1, 2).when(F.col("kept"), 1).otherwise(0)
+    return common.kept_rows(docs, rows.select("doc_id", "text_sha256", verdict.alias("verdict")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (five-word shingles, similarity 0.75) the document with the smallest id stays."""
-    gone = near_dup.jaccard_classes(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each class of near copies (five-word shingles, similarity 0.75) the document with the smallest id stays; one
+    without an id only if none has one. Texts without words are no copies of anything and stay."""
+    rows = near_dup.jaccard_classes(docs)
+    verdict = F.when(F.col("n_shingles") == 0, 2).when(F.col("first"), 1).otherwise(0)
+    return common.kept_rows(docs, rows.select("doc_id", "text_sha256", verdict.alias("verdict")))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, whole or edited, go."""
-    found = decontaminate.find_leaks(docs, common.table(spark, sf_dir, "benchmark"), docs.columns)
-    return found.where(F.size("leaks") == 0).select(*docs.columns)
+    found = decontaminate.leaks_of_rows(docs, common.table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("leaks") == 0).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

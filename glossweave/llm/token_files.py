@@ -1,46 +1,102 @@
 """Token-ID output: flat unsigned integer files with 64-bit offsets, read by memory mapping.
 
-A part k is three flat little-endian files: part-k.bin (the ids, 16 or 32 bits), part-k.off (uint64,
-where each document starts within the part, and the part's end) and part-k.doc (int64 ids of documents).
-Parts are ranges of ascending document ids; manifest.json has each part's counts and its base, the prefix
-sum of the ids in all parts before it.
+A part is three flat little-endian files: .bin (the ids, 16 or 32 bits), .off (uint64, where each document
+starts within the part, and the part's end) and .doc (int64 ids of documents). Parts are ranges of ascending document
+ids; manifest.json has each part's name, its counts (`nulls`: so many documents at its beginning have no id) and its
+base, the prefix sum of the ids in all parts before it. A name has its task's attempt in it, and only attempts that
+succeeded are in the manifest.
 """
 
 from __future__ import annotations
 
 import json
-import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN
-from .common import filesystem, flat_array, partitions, publish, ship, text_or_empty
+from .bpe import safe_pieces
+from .common import filesystem, flat_array, partitions, ship, text_or_empty
 
-_PART = "part int, docs long, ids long"
+_PART = "part int, name string, docs long, nulls long, ids long"
 _ROW = "doc_id long, start long, n_tokens long, ids binary"
-#: PATTERN for texts of ASCII and Latin letters only, where re's classes agree with it; re is twice as fast as regex.
-_LATIN = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
-_NOT_LATIN = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ]").search
-_ANY = regex.compile(PATTERN).findall
 #: Matches remembered by a worker; the memory is emptied when it is full.
-MEMO = 1_000_000
+MEMO = 600_000
+#: Characters that are split at once; a longer text is cut where matches end.
+PIECE = 3 << 20
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Of every code point what PATTERN takes it for: 0 white space, 1 letter, 2 number, 3 anything else."""
+    out = np.full(0x110000, 3, np.uint8)
+    every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
+    for kind, pattern in enumerate((r"\s", r"\p{L}", r"\p{N}")):
+        out[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), "<u4")] = kind
+    return out
+
+
+def match_starts(points: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where each match of PATTERN starts in texts of code points that stand one after another; rows: where each text
+    starts. Matches leave no gaps, so the next one's start is a match's end.
+
+    A match is a run of one class, with the one space before it; of a run of white space before other characters the
+    last character stands alone (or goes with the next run); an apostrophe that no space precedes takes the letters
+    of a contraction from the run behind it.
+    """
+    n = len(points)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind = _classes()[points]
+    begins = np.zeros(n + 3, bool)  # of texts; three more, so that looking ahead stays inside
+    begins[rows[rows < n]] = True
+    begins[n:] = True
+    start = np.zeros(n + 3, bool)
+    start[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=start[1:n])
+    start |= begins
+    space = kind == 0
+    last = np.flatnonzero(space[:-1] & ~space[1:])
+    last = last[~begins[last + 1]]
+    start[last] = True
+    start[last[points[last] == 32] + 1] = False
+    ahead = np.concatenate([points, np.zeros(3, points.dtype)])
+    quote = np.flatnonzero(points == 39)
+    quote = quote[start[quote] & ~begins[quote + 1]]
+    one, two = ahead[quote + 1], ahead[quote + 2]
+    short = quote[np.isin(one, [ord(c) for c in "stmd"])]
+    long = (one == ord("r")) & (two == ord("e")) | (one == ord("v")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    long = quote[long & ~begins[quote + 2]]
+    start[short + 1] = start[long + 1] = False
+    start[short + 2] = start[long + 3] = True
+    return np.flatnonzero(start[:n])
+
+
+def _byte_letters() -> dict[int, str]:
+    """The characters by which byte-level files write bytes: printable ones of Latin-1 are themselves, the others follow 255."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in own else next(rest)) for b in range(256)}
 
 
 class Ids:
     """Ids of texts by a tokenizers file.
 
-    For plain byte-level files a match of the splitting pattern always has the same ids, so each worker
-    encodes a match once and remembers it. Other files encode whole texts.
+    For plain byte-level files a match of the splitting pattern always has the same ids, so a worker finds the
+    matches of many texts at once by array operations, has Arrow number the different ones, has the file's BPE model
+    encode each of those once and remembers it. Other files encode whole texts.
     """
 
+    _LETTERS = _byte_letters()
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -48,19 +104,65 @@ class Ids:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         kind = json.loads(self.tokenizer.to_str())
         pre = kind.get("pre_tokenizer") or {}
-        self.by_match = not kind.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and kind["model"].get("dropout") is None
-        self.size, self.memo = self.tokenizer.get_vocab_size(with_added_tokens=True), {}
+        self.by_match = not kind.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and kind["model"].get("dropout") is None and all(a["special"] for a in kind.get("added_tokens") or ())
+        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memo: dict[bytes, int] = {}  # match -> its number
+        self.ids, self.begins = np.zeros(0, np.uint32), np.zeros(1, np.int64)  # all matches' ids, and where each one's begin
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        if not self.by_match:
-            return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        memo, split = self.memo, [_ANY(t) if _NOT_LATIN(t) else _LATIN(t) for t in texts]
-        if len(memo) > MEMO:
-            memo.clear()
-        if new := list({m for ms in split for m in ms if m not in memo}):
-            for m, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                memo[m] = array("I", e.ids).tobytes()
-        return [b"".join(map(memo.__getitem__, ms)) for ms in split]
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one text after another, and each text's number of them."""
+        if not self.by_match or not texts:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+        pieces, owner = [], []
+        for k, t in enumerate(texts):
+            own = [t] if len(t) <= PIECE else list(safe_pieces(t, PIECE))
+            pieces += own
+            owner += [k] * len(own)
+        whole = "".join(pieces)
+        raw = whole.encode()
+        rows = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])
+        if len(raw) == len(whole):
+            points = np.frombuffer(raw, np.uint8)
+            starts = match_starts(points, rows[:-1])
+            bounds = starts
+        else:
+            points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+            starts = match_starts(points, rows[:-1])
+            at = np.zeros(len(points), np.int64)  # the first byte of each character
+            np.cumsum(1 + (points[:-1] >= 0x80) + (points[:-1] >= 0x800).astype(np.int8) + (points[:-1] >= 0x10000), out=at[1:])
+            bounds = at[starts]
+        offsets = np.concatenate([bounds, [len(raw)]]).astype(np.int64)
+        matches = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        numbers = self._numbers(matches.dictionary.to_pylist())[matches.indices.to_numpy()]
+        lengths = self.begins[numbers + 1] - self.begins[numbers]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.arange(total) + np.repeat(self.begins[numbers] - (ends - lengths), lengths)]
+        until = np.concatenate([[0], ends])[np.searchsorted(starts, rows)]
+        counts = np.zeros(len(texts), np.int64)
+        np.add.at(counts, owner, np.diff(until))
+        return ids, counts
+
+    def _numbers(self, matches: list[bytes]) -> np.ndarray:
+        if len(self.memo) > MEMO or len(self.ids) > 8 * MEMO:
+            self._forget()
+        memo, tokenize, letters = self.memo, self.tokenizer.model.tokenize, self._LETTERS
+        out = np.fromiter(map(memo.get, matches, repeat(-1)), np.int64, len(matches))
+        missed = np.flatnonzero(out < 0)
+        if len(missed):
+            new = [matches[k] for k in missed.tolist()]
+            found = [[x.id for x in tokenize(m.decode("latin-1").translate(letters))] for m in new]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            out[missed] = np.arange(len(memo), len(memo) + len(new))
+            memo.update(zip(new, range(len(memo), len(memo) + len(new))))
+            self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(lengths)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))])
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -68,34 +170,46 @@ def tokenizer_ids(path: str) -> Ids:
     return Ids(path)
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows with about PIECE bytes of text together, or one row."""
+    sizes = np.cumsum(np.asarray(pc.binary_length(b.column(1)), np.int64))
+    k = 0
+    while k < b.num_rows:
+        to = max(k + 1, int(np.searchsorted(sizes, (sizes[k - 1] if k else 0) + PIECE, "right")))
+        yield b.slice(k, to - k)
+        k = to
+
+
 def _writer(out: str, tokenizer: str, end_id: int | None, dtype: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         task = TaskContext.get()
-        attempt, name = f"{task.taskAttemptId()}.tmp", f"{out}/part-{task.partitionId():06d}"
-        end = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
-        of, docs, lengths, fs, stream = tokenizer_ids(tokenizer).of, [], [], None, None
+        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
+        fs, root = filesystem(out)
+        of, docs, lengths, nulls, stream = tokenizer_ids(tokenizer).of, [], [], 0, None
         for b in batches:
-            for k in range(0, b.num_rows, 200):
-                part = b.slice(k, 200)
-                ids = [x + end for x in of(part.column(1).to_pylist())]
-                docs.append(np.asarray(part.column(0).fill_null(-(2**63)), "<i8"))
-                lengths.append(np.fromiter((len(x) // 4 for x in ids), "<u8", len(ids)))
+            for part in _slices(b):
+                ids, counts = of(part.column(1).to_pylist())
+                if end_id is not None:
+                    ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+                nulls += part.column(0).null_count
+                docs.append(np.asarray(part.column(0).fill_null(0), "<i8"))
+                lengths.append(counts.astype("<u8"))
                 if stream is None:
-                    fs, path = filesystem(f"{name}.bin")
-                    fs.create_dir(os.path.dirname(path), recursive=True)
-                    stream = fs.open_output_stream(f"{path}.{attempt}")
-                stream.write(np.frombuffer(b"".join(ids), "<u4").astype(dtype).tobytes())
+                    fs.create_dir(root, recursive=True)
+                    stream = fs.open_output_stream(f"{root}/{name}.bin")
+                stream.write(ids.astype(dtype).tobytes())
         if stream is None:
             return
         stream.close()
-        fs.move(f"{path}.{attempt}", path)
         offsets = np.concatenate([np.zeros(1, "<u8"), np.cumsum(np.concatenate(lengths), dtype="<u8")])
-        publish(f"{name}.off", offsets.tobytes(), attempt)
-        publish(f"{name}.doc", np.concatenate(docs).tobytes(), attempt)
-        yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([len(offsets) - 1], pa.int64()), pa.array([int(offsets[-1])], pa.int64())], names=["part", "docs", "ids"])
+        for kind, data in (("off", offsets), ("doc", np.concatenate(docs))):
+            with fs.open_output_stream(f"{root}/{name}.{kind}") as f:
+                f.write(data.tobytes())
+        columns = zip((task.partitionId(), name, len(offsets) - 1, nulls, int(offsets[-1])), (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in columns], names=["part", "name", "docs", "nulls", "ids"])
 
     return write
 
@@ -103,10 +217,10 @@ def _writer(out: str, tokenizer: str, end_id: int | None, dtype: str):
 def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Encode every text, append end_id, and write the ids in ascending order of document ids; returns the manifest.
 
-    out is a URI that all nodes reach. A null text is empty; rows with a null id come first (written as
-    -2**63); rows with equal ids stand in the order of their texts' hashes. An empty table gives a manifest
-    without parts. Ids take 16 bits where the vocabulary allows, else 32. Files are renamed into place when
-    whole, so a task that is run again replaces its own part.
+    out is a URI that all nodes reach. A null text is empty; rows with a null id come first; rows with equal ids
+    stand in the order of their texts' hashes. An empty table gives a manifest without parts. Ids take 16 bits where the
+    vocabulary allows, else 32. A task that is run again writes files of another name; those that the manifest doesn't
+    name are deleted when all tasks are done.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -115,25 +229,32 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int | N
     ordered = rows.repartitionByRange(partitions(spark), "key", "tie").sortWithinPartitions("key", "tie").select("key", "body")
     parts, base = [], 0
     for r in sorted(ordered.mapInArrow(_writer(out, tokenizer, end_id, dtype), _PART).collect()):  # one row a part
-        parts.append({"part": r.part, "docs": r.docs, "ids": r.ids, "base": base})
+        parts.append({"name": r.name, "docs": r.docs, "nulls": r.nulls, "ids": r.ids, "base": base})
         base += r.ids
+    fs, root = filesystem(out)
+    named = {f"{p['name']}.{kind}" for p in parts for kind in ("bin", "off", "doc")}
+    for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if f.base_name.startswith("part-") and f.base_name not in named:
+            fs.delete_file(f.path)
     manifest = {"dtype": dtype, "tokenizer": tokenizer, "end_id": end_id, "ids": base, "parts": parts}
-    publish(f"{out}/manifest.json", json.dumps(manifest).encode(), "tmp")
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(f"{root}/manifest.json") as f:
+        f.write(json.dumps(manifest).encode())
     return manifest
 
 
 def _reader(out: str, dtype: str, batch_ids: int = 1 << 21):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                name = f"{out}/part-{part:06d}"
-                ids, offsets, docs = flat_array(f"{name}.bin", dtype), flat_array(f"{name}.off", "<u8").astype(np.int64), flat_array(f"{name}.doc", "<i8")
+            for name, nulls, base in zip(*(b.column(k).to_pylist() for k in range(3))):
+                ids, offsets, docs = (flat_array(f"{out}/{name}.{kind}", t) for kind, t in (("bin", dtype), ("off", "<u8"), ("doc", "<i8")))
+                offsets = offsets.astype(np.int64)
                 at = 0
                 while at < len(docs):
                     to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + batch_ids, "right")) - 1)
                     to = min(to, len(docs), at + 5000)
                     raw = [np.asarray(ids[offsets[k] : offsets[k + 1]]).astype("<u4").tobytes() for k in range(at, to)]
-                    keys = pa.array(docs[at:to], pa.int64(), mask=docs[at:to] == -(2**63))
+                    keys = pa.array(docs[at:to], pa.int64(), mask=np.arange(at, to) < nulls)
                     yield pa.RecordBatch.from_arrays([keys, pa.array(base + offsets[at:to]), pa.array(np.diff(offsets[at : to + 1])), pa.array(raw, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
                     at = to
 
@@ -147,5 +268,5 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
     fs, path = filesystem(f"{out}/manifest.json")
     with fs.open_input_file(path) as f:
         manifest = json.loads(f.read())
-    parts = spark.createDataFrame([(p["part"], p["base"]) for p in manifest["parts"]], "part int, base long")
+    parts = spark.createDataFrame([(p["name"], p["nulls"], p["base"]) for p in manifest["parts"]], "name string, nulls long, base long")
     return parts.repartition(max(1, len(manifest["parts"]))).mapInArrow(_reader(out, manifest["dtype"]), _ROW)

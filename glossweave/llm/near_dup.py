@@ -471,6 +471,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
     none = F.lit(None).cast("binary")
     units = small.select("members", none.alias("roots"), none.alias("others"), none.alias("others_roots")).unionByName(_units(large, near, chunk))
     spread = units.groupBy(F.xxhash64("members", "roots", "others").alias("unit"), F.md5("members").alias("left"), F.md5(F.coalesce("others", F.lit(b""))).alias("right")).agg(*(F.first(c).alias(c) for c in ("members", "roots", "others", "others_roots")))
+    spread = spread.repartition(n, "unit")  # by a number: adaptive execution leaves as many tasks
     links = written(spread.select("members", "roots", "others", "others_roots").mapInArrow(_search(out, percent), "a long, b long"), "links")
     edges = near.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
     member = connected_components(edges)
@@ -484,7 +485,7 @@ def _firsts(classes: DataFrame) -> DataFrame:
     return hot_join(classes, least, "class", "size").select("digest", "copies", "least")
 
 
-_DEFAULTS = {"k": 5, "percent": 75, "sample_sets": 20_000, "sample_shingles": 1 << 22, "sample_least": 3, "frequent_most": 1 << 20, "chunk": 4096, "star": 16, "part": 1 << 20}
+_DEFAULTS = {"k": 5, "percent": 75, "sample_sets": 20_000, "sample_shingles": 1 << 22, "sample_least": 3, "frequent_most": 1 << 20, "chunk": 1024, "star": 16, "part": 1 << 20}
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:

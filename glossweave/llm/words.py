@@ -1,13 +1,12 @@
-"""Words of whole Arrow columns and their 64-bit hashes.
+"""Words of whole Arrow columns and their 64-bit hashes, by numpy.
 
-A word is a run of bytes other than space and 0x09-0x0D, with A-Z lower-cased. Arrow numbers the different words of a
-run of texts by their bytes; each of those is hashed once, by XXH3.
+A word is a run of bytes other than space and 0x09-0x0D, with A-Z lower-cased. Its hash takes in eight bytes after the
+other, mixing in between; long words are hashed by XXH3.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,11 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: A second way to part words: at every ASCII byte that is no letter or digit.
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _SEED = int(_RANDOM.integers(2**62, 2**63, dtype=_U))
+_STEP = _RANDOM.integers(2**62, 2**63, dtype=_U) * _U(2) + _U(1)
 _PLACE = _RANDOM.integers(1, 2**63, 64, dtype=_U) * _U(2) + _U(1)
+#: Masks of the first n bytes of a number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
+_LONG = 64
 CHUNK = 1 << 20
 
 
@@ -32,6 +35,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _hashes(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of the words raw[start : start + length]; raw has at least 8 bytes more behind the last one."""
+    eights = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))  # the number that begins at each byte
+    out = mix(lengths.astype(_U) * _STEP + _U(_SEED))
+    rest, at = np.arange(len(starts)), 0
+    while len(rest):
+        left = lengths[rest] - at
+        out[rest] = mix(out[rest] ^ (eights[starts[rest] + at] & _FIRST[np.minimum(left, 8)]))
+        at += 8
+        rest = rest[left > 8]
+        if at >= _LONG:
+            for k in rest.tolist():
+                out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : starts[k] + lengths[k]].tobytes(), _SEED)
+            break
+    return out
+
+
 def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
     _, offsets, data = texts.buffers()
@@ -65,11 +85,9 @@ def word_hashes(texts: pa.Array, space: np.ndarray = _SPACE) -> Iterator[tuple[i
         first[cut] = inside[cut]
         last[cut - 1] = inside[cut - 1]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        letters = _LOWER[raw[inside]]
-        places = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(letters)]).dictionary_encode()
-        known = np.fromiter(map(xxhash.xxh3_64_intdigest, found.dictionary.to_pylist(), repeat(_SEED)), _U, len(found.dictionary))
-        hashes = known[found.indices.to_numpy()]
+        letters = np.zeros(n + 8, np.uint8)
+        letters[:n] = _LOWER[raw]
+        hashes = _hashes(letters, starts, ends - starts)
         bounds = np.searchsorted(starts, at)
         base = np.repeat(at[:-1], np.diff(bounds))
         yield row, bounds, hashes, starts - base, ends - base

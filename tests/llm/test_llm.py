@@ -320,6 +320,9 @@ def test_word_hashes():
         for k in range(len(bounds) - 1):
             got.append([(int(x), int(a), int(b)) for x, a, b in zip(h[bounds[k] : bounds[k + 1]], s[bounds[k] : bounds[k + 1]], e[bounds[k] : bounds[k + 1]])])
     assert [[w[1:] for w in ws] for ws in got] == [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", t.encode())] for t in texts]
+    long = [c * n for n in (7, 8, 9, 16, 17, 63, 64, 65, 72, 200) for c in "abA"]
+    (_, _, h, _, _), = words.word_hashes(pa.array([" ".join(long).encode()]))
+    assert len(set(h.tolist())) == 20 and all(h[k] == h[k + 2] for k in range(0, 30, 3))
     assert got[0][0][0] == got[2][0][0] and got[0][1][0] == got[3][0][0] == got[5][1][0] and got[4][0][0] != got[4][1][0]
 
 

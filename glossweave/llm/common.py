@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -54,7 +57,31 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base:
         base = ("file://" + os.path.abspath(base)) if not base.startswith("file:") else "file://" + base[5:]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for made in _SCOPES[-1:]:
+        made.append(path)
+    return path
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that operators make within are deleted at its end; what is computed from them must be written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
+        gc.collect()
+        spark._jvm.java.lang.System.gc()  # lets Spark see which shuffles nothing reads any more
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    name.getFileSystem(spark._jsc.hadoopConfiguration()).delete(name, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -67,8 +94,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Delete a table of `written` that nothing reads any more (a round that a later one has replaced)."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        name = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        name.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(name, True)
+        _delete(df.sparkSession, path)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -120,20 +146,25 @@ def with_row(df: DataFrame, carry: list[str], own: list[str]) -> DataFrame:
     return df.select(*fields, *own)
 
 
-def kept_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay. decisions: doc_id, text_sha256 and verdict of every row: 0 goes, 1 stays but only one of
+def kept_rows(docs: DataFrame, decide: Callable[[], DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay. decide() gives doc_id, text_sha256 and verdict of every row: 0 goes, 1 stays but only one of
     the rows that repeat both id and text, 2 stays. Rows are told apart by id and text, so rows that share an id only
-    are judged each by its own. Columns may have any names.
+    are judged each by its own. Columns may have any names. What decide() leaves in the shared folder is deleted
+    when the verdicts are written.
     """
-    told = decisions.where("verdict < 2").groupBy("doc_id", "text_sha256").agg(F.max("verdict").alias("verdict"), F.count("*").alias("rows")).where("verdict = 0 or rows > 1")
-    told = written(told, "verdicts").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "verdict", "rows")
+    spark = docs.sparkSession
+    path = shared_dir(spark, "verdicts")
+    with scratch(spark):
+        told = decide().where("verdict < 2").groupBy("doc_id", "text_sha256").agg(F.max("verdict").alias("verdict"), F.count("*").alias("rows")).where("verdict = 0 or rows > 1")
+        told.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "verdict").write.parquet(path)
+    told = spark.read.schema("id long, sha string, verdict int").parquet(path)
     own = docs.select(row_of(docs), F.col(id_col).cast("long").alias("doc_id"), F.sha2(text_or_empty(text_col), 256).alias("text_sha256"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_sha256") == F.col("sha"))
-    kept = own.join(told.select("id", "sha"), same, "left_anti").select("row.*")
-    again = told.where("verdict = 1").select("id", "sha")
+    kept = own.join(told.hint("merge"), same, "left_anti").select("row.*")  # verdicts grow with the documents: never broadcast
+    again = told.where("verdict = 1")
     if again.isEmpty():
         return kept
-    one = own.join(again, same).groupBy("id", "sha").agg(F.any_value("row").alias("row"))  # tasks reduce repeated rows before the shuffle
+    one = own.join(again.hint("merge"), same).groupBy("id", "sha").agg(F.any_value("row").alias("row"))  # tasks reduce repeated rows before the shuffle
     return kept.unionByName(one.select("row.*"))
 
 

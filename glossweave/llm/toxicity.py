@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -168,57 +168,64 @@ def fit(texts: list[str], toxic: list[int], least: int = 3, ratio: float = 3.0,
     if not 0 < y.sum() < len(y):
         return model
     number: dict[str, int] = {}
-    tokens, bounds = [], [0]
+    found, bounds = array("q"), [0]
     for t in texts:
-        tokens += [number.setdefault(w, len(number)) for w in _WORD.findall(t.lower())]
-        bounds.append(len(tokens))
-    tokens, bounds = np.asarray(tokens, np.int64), np.asarray(bounds)
-    words = list(number)
+        found.extend(number.setdefault(w, len(number)) for w in _WORD.findall(t.lower()))
+        bounds.append(len(found))
+    tokens, bounds = np.frombuffer(found, np.int64), np.asarray(bounds)
     names: dict[str, int] = {}
-    word_features = [[names.setdefault(f, len(names)) for f in features(w)] for w in words]
-    flat = np.fromiter((f for fs in word_features for f in fs), np.int64)
-    owner = np.repeat(np.arange(len(words)), [len(fs) for fs in word_features])
+    flat, begins = array("q"), [0]  # the features of each word
+    for w in number:
+        flat.extend(names.setdefault(f, len(names)) for f in features(w))
+        begins.append(len(flat))
+    words = len(number)
+    number.clear()
+    flat, begins = np.frombuffer(flat, np.int64), np.asarray(begins)
+    owner = np.repeat(np.arange(words), np.diff(begins))
     # labelled tokens
-    held = [Counter(), Counter()]
+    held = np.zeros((2, len(names)))
     for k in range(len(texts)):
-        held[toxic[k]].update({f for w in set(tokens[bounds[k] : bounds[k + 1]].tolist()) for f in word_features[w]})
+        own = np.unique(tokens[bounds[k] : bounds[k + 1]])
+        sizes = begins[own + 1] - begins[own]
+        at = np.repeat(begins[own] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        held[toxic[k], np.unique(flat[at])] += 1
     n1, n0 = y.sum(), len(y) - y.sum()
     odds = np.zeros(len(names))
-    for f, c in held[1].items():
-        all_of = c + held[0][f]
-        surprise = 2 * c * math.log(c / (all_of * n1 / len(y))) + (2 * held[0][f] * math.log(held[0][f] / (all_of * n0 / len(y))) if held[0][f] else 0.0)
-        if c >= least and surprise >= 2 * math.log(len(names)) + 4:  # more than the best of as many chance features
-            odds[f] = math.log((c + 0.1) / (n1 + 1)) - math.log((held[0][f] + 0.1) / (n0 + 1))
-    lexical = np.zeros(len(words), bool)
+    for f in np.flatnonzero(held[1] >= least).tolist():
+        c, clean = held[1, f], held[0, f]
+        surprise = 2 * c * math.log(c / ((c + clean) * n1 / len(y))) + (2 * clean * math.log(clean / ((c + clean) * n0 / len(y))) if clean else 0.0)
+        if surprise >= 2 * math.log(len(names)) + 4:  # more than the best of as many chance features
+            odds[f] = math.log((c + 0.1) / (n1 + 1)) - math.log((clean + 0.1) / (n0 + 1))
+    lexical = np.zeros(words, bool)
     np.logical_or.at(lexical, owner, odds[flat] >= ratio)
     doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
     label = (lexical[tokens] & (y[doc] > 0)).astype(float)
     if not label.any():
         return model
     # likelihood by gradient steps of each weight's own length; a text counts as sequences of at most 128 tokens here
-    begins = np.zeros(len(tokens), bool)
+    opens = np.zeros(len(tokens), bool)
     for k in range(len(texts)):
-        begins[bounds[k] : bounds[k + 1] : 128] = True
-    sequences = np.concatenate([np.flatnonzero(begins), [len(tokens)]])
+        opens[bounds[k] : bounds[k + 1] : 128] = True
+    sequences = np.concatenate([np.flatnonzero(opens), [len(tokens)]])
     observed = np.zeros((2, 2))
-    follow = ~begins
+    follow = ~opens
     np.add.at(observed, (label[:-1][follow[1:]].astype(int), label[1:][follow[1:]].astype(int)), 1)
     weights, bias, start, transition = np.zeros(len(names)), math.log(label.mean() / (1 - label.mean())), 0.0, np.zeros((2, 2))
     gathered = [np.full(len(names), 1e-6), 1e-6, 1e-6, np.full((2, 2), 1e-6)]
     for step in range(steps):
-        word_score = bias + np.bincount(owner, weights[flat], len(words))
+        word_score = bias + np.bincount(owner, weights[flat], words)
         p, pairs, _ = marginals(word_score[tokens], sequences, transition, start)
         off = label - p
-        by_word = np.bincount(tokens, off, len(words))
+        by_word = np.bincount(tokens, off, words)
         rate = 0.7 * (1 - step / (2 * steps))
-        gradients = [np.bincount(flat, by_word[owner], len(names)) - decay * len(tokens) * weights * 0.01, off.sum(), off[begins].sum(), observed - pairs]
+        gradients = [np.bincount(flat, by_word[owner], len(names)) - decay * len(tokens) * weights * 0.01, off.sum(), off[opens].sum(), observed - pairs]
         moves = []
         for k, g in enumerate(gradients):
             gathered[k] = gathered[k] + g * g
             moves.append(rate * g / np.sqrt(gathered[k]))
         weights, bias, start, transition = weights + moves[0], bias + moves[1], start + moves[2], transition + moves[3]
         transition[0, 0] = 0.0  # the scale is free
-    word_score = bias + np.bincount(owner, weights[flat], len(words))
+    word_score = bias + np.bincount(owner, weights[flat], words)
     p = whole_marginals(word_score[tokens], bounds, transition, start)
     x = _evidence(p, bounds)
     d = np.array([0.3, 0.0, math.log(share / (1 - share))])
@@ -228,8 +235,8 @@ def fit(texts: list[str], toxic: list[int], least: int = 3, ratio: float = 3.0,
         hessian = (x * (q * (1 - q))[:, None]).T @ x + ridge
         d = d + np.clip(np.linalg.solve(hessian, x.T @ (y - q) - ridge @ d), -2, 2)
     used = np.flatnonzero(np.abs(weights) > 1e-2)
-    listed = list(names)
-    return Model({listed[i]: float(weights[i]) for i in used}, float(bias), transition, float(start), tuple(float(v) for v in d))
+    kept = set(used.tolist())
+    return Model({f: float(weights[i]) for f, i in names.items() if i in kept}, float(bias), transition, float(start), tuple(float(v) for v in d))
 
 
 def _tag(model: Model, span_least: float):

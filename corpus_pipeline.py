@@ -23,17 +23,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays; one without an id only if none has one."""
-    rows = exact_dedup.exact_dedup(docs, keep="largest")
     verdict = F.when(F.col("group_size") == 1, 2).when(F.col("kept"), 1).otherwise(0)
-    return common.kept_rows(docs, rows.select("doc_id", "text_sha256", verdict.alias("verdict")))
+    return common.kept_rows(docs, lambda: exact_dedup.exact_dedup(docs, keep="largest").withColumn("verdict", verdict))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies (five-word shingles, similarity 0.75) the document with the smallest id stays; one
     without an id only if none has one. Texts without words are no copies of anything and stay."""
-    rows = near_dup.jaccard_classes(docs)
     verdict = F.when(F.col("n_shingles") == 0, 2).when(F.col("first"), 1).otherwise(0)
-    return common.kept_rows(docs, rows.select("doc_id", "text_sha256", verdict.alias("verdict")))
+    return common.kept_rows(docs, lambda: near_dup.jaccard_classes(docs).withColumn("verdict", verdict))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +60,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        before, docs = docs, common.written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        if name != STAGES[0][0]:
+            common.forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -61,7 +61,9 @@ def split_edges(token: Column) -> Column:
 
 
 def tokens_with_marks(text: Column) -> Column:
-    return F.flatten(F.transform(words(text), split_edges))
+    """split_edges of every word: a mark stands alone but between other characters of a word, whose core ends at its last other character."""
+    marks = EDGE_MARKS[1:-1]
+    return F.regexp_extract_all(text, F.lit(rf"(?U){EDGE_MARKS}|[^\s{marks}](?:\S*[^\s{marks}])?"), F.lit(0))
 
 
 def core_of(token: Column, marks: str = ",.;:!?") -> Column:

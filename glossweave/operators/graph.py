@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .numbering import numbered
+
 EDGE = ["source", "relation", "target"]
 
 
@@ -196,4 +198,26 @@ def ranked_candidates(candidates: DataFrame, degrees: DataFrame, support: DataFr
     out = out.join(support.select(F.col("lemma").alias("outside"), "support"), "outside", "left")
     low = F.least(F.coalesce("source_degree", F.lit(10**6)), F.coalesce("target_degree", F.lit(10**6)))
     keys: list[Column] = [F.col("relation") == loose, F.col("outside").isNotNull(), low, F.desc(F.coalesce("support", F.lit(0))), p, F.desc("weight"), F.col("relation"), F.col("source_lemma"), F.col("target_lemma")]
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(*keys))).drop("outside")
+    return numbered(out, *keys).withColumn("rank", (F.col("place") + 1).cast("int")).drop("outside", "place")
+
+
+def second_pass_ranked(candidates: DataFrame, edges: DataFrame, priority: list[str]) -> DataFrame:
+    """Candidates between two known nodes in the order of the second pass (rank from 1): priority of the relation (others last), heavy first,
+    a low sum of distinct neighbours in edges, then the names."""
+    degrees = degree_distinct(edges).select(F.col("node").alias("n"), F.col("degree").alias("d"))
+    own = candidates.where("source_node is not null and target_node is not null")
+    for side in ("source", "target"):
+        own = own.join(degrees.select(F.col("n").alias(f"{side}_node"), F.col("d").alias(f"{side}_degree")), f"{side}_node", "left")
+    p = F.array_position(F.array(*map(F.lit, priority)), F.col("relation"))
+    total = F.coalesce("source_degree", F.lit(0)) + F.coalesce("target_degree", F.lit(0))
+    own = own.withColumn("priority", F.when(p > 0, p).otherwise(99)).withColumn("degrees", total)
+    order = [F.col("priority"), F.desc("weight"), F.col("degrees"), F.col("source_node"), F.col("target_node"), F.col("relation")]
+    return numbered(own, *order).withColumn("rank", (F.col("place") + 1).cast("int")).drop("source_degree", "target_degree", "priority", "place")
+
+
+def noun_neighbours(edges: DataFrame, nouns: DataFrame, relations: list[str]) -> DataFrame:
+    """(node, score): for each noun the targets of its edges of the relations that are nouns (node), each relation's counted by itself."""
+    own = edges.where(F.col("relation").isin(relations)).select("source", "relation", "target").distinct()
+    known = nouns.select("node").distinct()
+    own = own.join(known.select(F.col("node").alias("target")), "target", "left_semi").groupBy(F.col("source").alias("node")).agg(F.count("*").alias("score"))
+    return known.join(own, "node", "left").select("node", F.coalesce("score", F.lit(0)).alias("score"))

@@ -52,10 +52,8 @@ def artificial_tokens(keys: DataFrame, preset: str, seed: int, mean: float = 3.0
     characters, between which and the drawn ones no other length can stand.
     """
     chars = alphabet(PRESETS[preset])
-    if preset == "cjk":
-        chars = chars[:8000]
     n = len(chars)
-    at = F.array(*map(F.lit, chars))
+    at = F.split(F.lit("".join(chars)), "")
     letter = lambda k: F.element_at(at, (F.floor(F.conv(F.substring(draw(seed, k.cast("string"), F.col("key")), 1, 8), 16, 10).cast("long") % n) + 1).cast("int"))
     own = keys.withColumn("size", length(seed, F.col("key"), mean, sd, least, most))
     own = own.withColumn("drawn", F.array_join(F.transform(F.sequence(F.lit(1), F.col("size")), letter), ""))
@@ -63,7 +61,7 @@ def artificial_tokens(keys: DataFrame, preset: str, seed: int, mean: float = 3.0
     own = own.withColumn("place", place)
     # numbered ones are longer than any drawn one: the drawn part is padded to `most` first
     pad = F.repeat(F.lit(chars[0]), F.lit(most) - F.length("drawn"))
-    number = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.element_at(at, (F.floor(F.col("place") / F.pow(F.lit(float(n)), k)) % n + 1).cast("int")))
+    number = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.element_at(at, (F.floor(F.col("place") / F.pow(F.lit(float(n)), k)) % n + 1).cast("int")))
     # the drawn length is told by one character, so padding cannot make two drawn parts equal
     told = F.element_at(at, F.length("drawn"))
     return own.withColumn("artificial", F.when(F.col("place") == 0, F.col("drawn")).otherwise(F.concat("drawn", pad, told, F.array_join(number, "")))).drop("size", "drawn", "place")

@@ -86,8 +86,8 @@ def condition_order(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def markdown(df: DataFrame, columns: list[str]) -> str:
-    """A table of a summary; rows are conditions, so they are few."""
-    rows = df.select(*(F.col(c).cast("string") for c in columns)).limit(1000).collect()
+    """A table of a summary, all its rows."""
+    rows = df.select(*(F.col(c).cast("string") for c in columns)).toLocalIterator()
     lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
     return "\n".join(lines + ["| " + " | ".join("N/A" if v is None else v for v in r) + " |" for r in rows]) + "\n"
 

@@ -1,12 +1,12 @@
 """Similarity and retrieval over vector tables (id, vec array<double>).
 
-Query-by-gallery products are blocked: the gallery is cut into blocks of rows, each block is a matrix in one
-worker, and only the k best of each block travel. A stated query set meets all rows; nothing is a pairwise join of a
-table with itself, except for small lists whose size is checked.
+Products are blocked: tables are cut into blocks of rows, two blocks meet as matrices in one worker, and only the k
+best, counts or wanted places travel. No pairs of rows are listed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,43 +35,45 @@ def normalized(df: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     return df.withColumn("__len", norm(F.col("vec")) + epsilon).withColumn("vec", F.transform("vec", lambda x: x / F.col("__len"))).drop("__len")
 
 
-def top_k(queries: DataFrame, gallery: DataFrame, k: int, gold: str | None = None) -> DataFrame:
-    """(q, g, sim, place): the k most similar gallery rows of each query, at a tie the smaller id.
+def _blocks(df: DataFrame, rows: int) -> DataFrame:
+    """(block, block_rows): normalized rows (id, vec) in blocks of about `rows`, by a hash of the id."""
+    n = max(1, -(-df.count() // rows))
+    own = normalized(df).select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"), F.struct("id", "vec").alias("row"))
+    return own.groupBy("block").agg(F.collect_list("row").alias("block_rows"))
 
-    The query set goes to every task where it is below the broadcast bound, else it is shuffled by Spark.
-    """
-    q = normalized(queries).select(F.col("id").alias("q"), F.col("vec").alias("qv"))
-    g = normalized(gallery).select(F.col("id").alias("g"), F.col("vec").alias("gv"))
-    pairs = q.crossJoin(g).select("q", "g", dot(F.col("qv"), F.col("gv")).alias("sim"))
-    order = Window.partitionBy("q").orderBy(F.desc("sim"), "g")
-    return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([r["id"] for r in rows], np.int64), np.stack([r["vec"] for r in rows])
 
 
-def top_k_blocked(queries: DataFrame, gallery: DataFrame, k: int, block_rows: int = 20_000, most_queries: int = 100_000) -> DataFrame:
-    """top_k for large galleries: each worker multiplies batches of the gallery by the query matrix and keeps the k best.
+def top_k(queries: DataFrame, gallery: DataFrame, k: int, block_rows: int = 2000) -> DataFrame:
+    """(q, g, sim, place): the k most similar gallery rows of each query, at a tie (to 1e-12) the smaller id.
 
-    The query matrix goes to all workers; its size is checked.
+    Each block of queries meets each block of the gallery as matrices, and only the k best of a query in a block travel. So
+    tasks hold two blocks, whatever the sizes of the tables.
     """
-    own = normalized(queries).select("id", "vec").limit(most_queries + 1).collect()
-    if len(own) > most_queries:
-        raise ValueError(f"more than {most_queries} queries; take them in blocks")
-    ids, matrix = np.array([r.id for r in own], np.int64), np.array([r.vec for r in own], np.float64)
-    if not len(ids):
-        return queries.sparkSession.createDataFrame([], "q long, g long, sim double, place int")
+    a = _blocks(queries, block_rows)
+    b = _blocks(gallery, block_rows).select(F.col("block").alias("block2"), F.col("block_rows").alias("others"))
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if not len(f):
-                continue
-            sims, g = matrix @ np.stack(f.vec.to_numpy()).T, f.id.to_numpy()
-            order = np.lexsort((np.broadcast_to(g, sims.shape), -sims), axis=1)[:, :k]
-            yield pd.DataFrame({"q": np.repeat(ids, order.shape[1]), "g": g[order].ravel(), "sim": np.take_along_axis(sims, order, 1).ravel()})
+            for mine, others in zip(f.block_rows, f.others):
+                (ids, left), (g, right) = _matrix(mine), _matrix(others)
+                sims = np.round(left @ right.T, 12)
+                order = np.lexsort((np.broadcast_to(g, sims.shape), -sims), axis=1)[:, :k]
+                yield pd.DataFrame({"q": np.repeat(ids, order.shape[1]), "g": g[order].ravel(), "sim": np.take_along_axis(sims, order, 1).ravel()})
 
-    partial = normalized(gallery).select("id", "vec").mapInPandas(best, "q long, g long, sim double")
+    partial = _units(a, b).mapInPandas(best, "q long, g long, sim double")
     order = Window.partitionBy("q").orderBy(F.desc("sim"), "g")
     return partial.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def _units(a: DataFrame, b: DataFrame, when: str = "true") -> DataFrame:
+    """Pairs of blocks, one a task's batch."""
+    n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return a.crossJoin(b).where(when).repartition(n, "block", "block2").select("block", "block2", "block_rows", "others")
+
+
 def precision_at_k(ranked: DataFrame, gold: DataFrame, ks: list[int]) -> DataFrame:
     """One row: queries and, for each k, the share whose gold (q, gold) is among the k first. Null without queries."""
     hits = gold.join(ranked, (gold.q == ranked.q) & (gold.gold == ranked.g), "left").select(F.col("place"))
@@ -106,25 +108,84 @@ def pooled_sentences(tokens: DataFrame, vectors: DataFrame, size: int, exclude:
     return tokens.select("sentence").distinct().join(means, "sentence", "left").select("sentence", F.coalesce("vec", F.array_repeat(F.lit(0.0), size)).alias("vec"))
 
 
-def similarity_distribution(df: DataFrame, most: int = 20_000) -> DataFrame:
-    """One row over all ordered pairs of different rows: mean, lower median, sample SD, minimum and quantiles.
+def _pair_units(df: DataFrame, block_rows: int) -> DataFrame:
+    """Blocks against themselves and the ones after them: every unordered pair of rows is in one unit."""
+    a = _blocks(df, block_rows)
+    return _units(a, a.select(F.col("block").alias("block2"), F.col("block_rows").alias("others")), "block <= block2")
+
 
-    Every pair is looked at, so the table is bounded.
+def _pair_sims(block: int, block2: int, mine, others) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Similarities of a unit's unordered pairs, and the pairs' ids, the smaller one first."""
+    (ids, left), (ids2, right) = _matrix(mine), _matrix(others)
+    at = np.triu_indices(len(ids), 1) if block == block2 else tuple(x.ravel() for x in np.indices((len(ids), len(ids2))))
+    sims, a, b = (left @ right.T)[at], ids[at[0]], ids2[at[1]]
+    return sims, np.minimum(a, b), np.maximum(a, b)
+
+
+def similarity_distribution(df: DataFrame, block_rows: int = 1000, bins: int = 1 << 16) -> DataFrame:
+    """One row over all ordered pairs of different rows: mean, lower median, sample SD, minimum and quantiles (0.01, 0.05, 0.95, 0.99;
+    interpolated). Null without pairs.
+
+    Unordered pairs are taken once, by blocks as matrices. A first pass counts them by bins and sums them; the second
+    brings only values from the bins that hold a wanted place, so the quantiles are exact and no list of all pairs is made.
     """
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows")
-    own = normalized(df).select("id", "vec")
-    sims = own.alias("a").join(own.alias("b"), F.col("a.id") != F.col("b.id")).select(dot(F.col("a.vec"), F.col("b.vec")).alias("s"))
-    q = lambda p: F.round(F.percentile("s", F.lit(p)), 6)
-    return sims.agg(F.count("*").alias("pairs"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.expr("percentile_disc(0.5) within group (order by s)"), 6).alias("lower_median"), F.round(F.stddev_samp("s"), 6).alias("sd"), F.round(F.min("s"), 6).alias("least"), q(0.01).alias("q01"), q(0.05).alias("q05"), q(0.95).alias("q95"), q(0.99).alias("q99"))
-
-
-def extreme_pairs(df: DataFrame, n: int, largest: bool, most: int = 20_000) -> DataFrame:
-    """The n unordered pairs of greatest (or least) similarity of a bounded list."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows")
-    own = normalized(df).select("id", "vec")
-    pairs = own.alias("x").join(own.alias("y"), F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.round(dot(F.col("x.vec"), F.col("y.vec")), 9).alias("sim"))
+    spark = df.sparkSession
+    units = _pair_units(df, block_rows)
+    bin_of = lambda s: np.clip(((s + 1.0) * (bins / 2)).astype(np.int64), 0, bins - 1)
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for row in f.itertuples(index=False):
+                sims, _, _ = _pair_sims(row.block, row.block2, row.block_rows, row.others)
+                held, which = np.unique(bin_of(sims), return_inverse=True)
+                yield pd.DataFrame({"bin": held, "n": np.bincount(which), "s": np.bincount(which, sims), "s2": np.bincount(which, sims * sims)})
+
+    found = units.mapInPandas(count, "bin long, n long, s double, s2 double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("s2").alias("s2")).orderBy("bin").collect()  # a row a bin
+    total = 2 * sum(r.n for r in found)
+    if not total:
+        return spark.createDataFrame([], "pairs long, mean double, lower_median double, sd double, least double, q01 double, q05 double, q95 double, q99 double")
+    wanted = {"least": [0], "lower_median": [-(-total // 2) - 1]} | {f"q{100 * p:02.0f}": [math.floor(p * (total - 1)), math.ceil(p * (total - 1))] for p in (0.01, 0.05, 0.95, 0.99)}
+    ends = np.cumsum([2 * r.n for r in found])
+    holder = {place: int(np.searchsorted(ends, place, "right")) for places in wanted.values() for place in places}
+    needed = np.array(sorted({found[h].bin for h in holder.values()}))
+
+    def bring(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for row in f.itertuples(index=False):
+                sims, _, _ = _pair_sims(row.block, row.block2, row.block_rows, row.others)
+                at = bin_of(sims)
+                own = np.isin(at, needed)
+                yield pd.DataFrame({"bin": at[own], "sim": sims[own]})
+
+    within = units.mapInPandas(bring, "bin long, sim double")
+    places = spark.createDataFrame([(found[h].bin, place, (place - (int(ends[h - 1]) if h else 0)) // 2) for place, h in holder.items()], "bin long, place long, inner long")
+    numbers = within.withColumn("inner", F.row_number().over(Window.partitionBy("bin").orderBy("sim")) - 1)
+    value = {r.place: r.sim for r in numbers.join(F.broadcast(places), ["bin", "inner"]).collect()}  # one row a wanted place
+    mean = 2 * math.fsum(r.s for r in found) / total
+    sd = math.sqrt(max(0.0, (2 * math.fsum(r.s2 for r in found) - total * mean * mean) / (total - 1)))
+
+    def at(name: str, p: float) -> float:
+        low, high = (value[x] for x in wanted[name])
+        return low + (high - low) * (p * (total - 1) - math.floor(p * (total - 1)))
+
+    row = (total, mean, value[wanted["lower_median"][0]], sd, value[0], *(at(f"q{100 * p:02.0f}", p) for p in (0.01, 0.05, 0.95, 0.99)))
+    out = spark.createDataFrame([row], "pairs long, mean double, lower_median double, sd double, least double, q01 double, q05 double, q95 double, q99 double")
+    return out.select("pairs", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
+
+
+def extreme_pairs(df: DataFrame, n: int, largest: bool, block_rows: int = 1000) -> DataFrame:
+    """The n unordered pairs (a, b, sim) of greatest (or least) similarity, at a tie (to 1e-9) the smaller ids; each unit of two blocks
+    gives its n best."""
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for row in f.itertuples(index=False):
+                sims, a, b = _pair_sims(row.block, row.block2, row.block_rows, row.others)
+                sims = np.round(sims, 9)
+                order = np.lexsort((b, a, -sims if largest else sims))[:n]
+                yield pd.DataFrame({"a": a[order], "b": b[order], "sim": sims[order]})
+
+    pairs = _pair_units(df, block_rows).mapInPandas(best, "a long, b long, sim double")
     return pairs.orderBy(F.desc("sim") if largest else "sim", "a", "b").limit(n)
 
 

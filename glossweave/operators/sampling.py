@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .numbering import numbered
+
 from glossweave.functions.text import draw, half_even
 
 STRATUM = ["relation", "source_type"]
@@ -78,7 +80,7 @@ def epoch(df: DataFrame, size: int, seed: int, number: int, key: str) -> DataFra
     n = df.count()
     if size <= n:
         return sample_n(df, size, seed * 1000 + number, key)
-    ranked = df.withColumn("k", F.row_number().over(Window.orderBy(key)) - 1)
+    ranked = numbered(df, key).withColumnRenamed("place", "k")
     picks = df.sparkSession.range(size).select(F.pmod(F.conv(F.substring(draw(seed, number, F.col("id").cast("string")), 1, 15), 16, 10).cast("long"), F.lit(n)).alias("k"))
     return ranked.join(picks, "k").drop("k")
 

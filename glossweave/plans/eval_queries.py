@@ -55,7 +55,7 @@ def wrong_predictions(spark, d):
 @query(f"WITH {RANKED} SELECT q, g, round(sim, 6) AS sim, CAST(place AS INTEGER) AS place FROM ranked")
 def knn_blocked(spark, d):
     v, q, g = _sides(spark, d)
-    return retrieval.top_k_blocked(q, g, 5).select("q", "g", F.round("sim", 6).alias("sim"), "place")
+    return retrieval.top_k(q, g, 5).select("q", "g", F.round("sim", 6).alias("sim"), "place")
 
 
 @query(f"WITH {NORMED} SELECT q.id AS q, n.id, round(list_dot_product(q.vec, n.vec), 6) AS sim, list_dot_product(q.vec, n.vec) > 0.2 AS marked FROM normed q, normed n WHERE q.id = 0 AND n.id <> 0 ORDER BY list_dot_product(q.vec, n.vec) DESC, n.id LIMIT 10")
@@ -126,12 +126,12 @@ def representatives_near_median(spark, d):
     return out.withColumn("distance", F.round("distance", 6)).withColumn("median", F.round("median", 6))
 
 
-_SENT = f"""conv AS (SELECT conv_id * 100 + turn AS sentence, unnest({WORDS.format('text')}) AS token FROM conversations WHERE turn < 2),
+_SENT = f"""conv AS (SELECT conv_id * 1000000 + turn AS sentence, unnest({WORDS.format('text')}) AS token FROM conversations),
 tok AS (SELECT sentence, token, CAST((ascii(token) * 7 + length(token)) % 500 AS BIGINT) AS vid FROM conv)"""
 
 
 def _sentence_tokens(spark, d):
-    c = ad.table(spark, d, "conversations").where("turn < 2").select((F.col("conv_id") * 100 + F.col("turn")).alias("sentence"), F.explode(words(F.col("text"))).alias("token"))
+    c = ad.table(spark, d, "conversations").select((F.col("conv_id") * _TURNS + F.col("turn")).alias("sentence"), F.explode(words(F.col("text"))).alias("token"))
     return c
 
 
@@ -147,17 +147,21 @@ def _pooled(spark, d, t, exclude=None):
 def _sr_sql(where: str) -> str:
     return f"""WITH {ad.VECTORS}, {_SENT}, pr AS (SELECT sentence, i, avg(v) AS v FROM (SELECT sentence, unnest(vec) AS v, generate_subscripts(vec, 1) AS i FROM tok JOIN vectors ON id = vid WHERE {where}) GROUP BY sentence, i),
 pv AS (SELECT sentence AS id, list(v ORDER BY i) AS vec FROM pr GROUP BY sentence), pn AS (SELECT id, list_transform(vec, lambda x: x / (sqrt(list_dot_product(vec, vec)) + 1e-9)) AS vec FROM pv),
-rk AS (SELECT q.id AS q, g.id AS g, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.vec, g.vec), 9) DESC, g.id) AS place FROM pn q, pn g WHERE q.id % 100 = 1 AND g.id % 100 = 0),
-gold AS (SELECT id AS q, id - 1 AS gold FROM pn WHERE id % 100 = 1), p AS (SELECT gold.q, rk.place FROM gold LEFT JOIN rk ON rk.q = gold.q AND rk.g = gold.gold AND rk.place <= 5)
+rk AS (SELECT q.id AS q, g.id AS g, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.vec, g.vec), 9) DESC, g.id) AS place FROM pn q, pn g WHERE q.id % 2 = 1 AND g.id % 2 = 0),
+gold AS (SELECT id AS q, id - 1 AS gold FROM pn WHERE id % 2 = 1), p AS (SELECT gold.q, rk.place FROM gold LEFT JOIN rk ON rk.q = gold.q AND rk.g = gold.gold AND rk.place <= 5)
 SELECT count(*) AS queries, round(avg(coalesce((place <= 1)::DOUBLE, 0)), 6) AS p1, round(avg(coalesce((place <= 5)::DOUBLE, 0)), 6) AS p5 FROM p"""
 
 
-def _retrieve_sentences(v, step=100):
+def _retrieve_sentences(v):
     v = v.withColumnRenamed("sentence", "id")
-    q, g = v.where(f"id % {step} = 1"), v.where(f"id % {step} = 0")
+    q, g = v.where("id % 2 = 1"), v.where("id % 2 = 0")
     return retrieval.precision_at_k(retrieval.top_k(q, g, 5), q.select(F.col("id").alias("q"), (F.col("id") - 1).alias("gold")), [1, 5])
 
 
+#: Of a conversation every even turn and the one after it.
+_TURNS = 1_000_000
+
+
 @query(_sr_sql("true"))
 def sentence_retrieval(spark, d):
     return _retrieve_sentences(_sentence_vectors(spark, d))
@@ -168,30 +172,6 @@ def sentence_retrieval_without_marks(spark, d):
     return _retrieve_sentences(_sentence_vectors(spark, d, [",", ".", ";", "*", "the", "de"]))
 
 
-#: The two above keep the first two turns, as their SQL does; these take all: each even turn and the one after it.
-_TURNS = 1_000_000
-
-
-def _all_turns_sql(where: str) -> str:
-    sql = _sr_sql(where).replace("conv_id * 100 + turn", f"conv_id * {_TURNS} + turn").replace(" FROM conversations WHERE turn < 2", " FROM conversations")
-    return sql.replace("id % 100 ", "id % 2 ")
-
-
-def _retrieve_all_turns(spark, d, exclude=None):
-    t = ad.table(spark, d, "conversations").select((F.col("conv_id") * _TURNS + F.col("turn")).alias("sentence"), F.explode(words(F.col("text"))).alias("token"))
-    return _retrieve_sentences(_pooled(spark, d, t, exclude), 2)
-
-
-@query(_all_turns_sql("true"))
-def sentence_retrieval_all_turns(spark, d):
-    return _retrieve_all_turns(spark, d)
-
-
-@query(_all_turns_sql("token NOT IN (',', '.', ';', '*', 'the', 'de')"))
-def sentence_retrieval_all_turns_without_marks(spark, d):
-    return _retrieve_all_turns(spark, d, [",", ".", ";", "*", "the", "de"])
-
-
 @query()
 def pca_2d(spark, d):
     out = retrieval.pca_2d(ad.vectors(spark, d))
@@ -287,9 +267,9 @@ def mean_counts_complete_grid(spark, d):
     return report.complete_means(o, "relation", "seed")
 
 
-@query(f"WITH {ad.RUNS}, m AS (SELECT grp || ':' || condition AS condition, avg(CASE WHEN seed = 0 THEN score END) AS downsample, avg(CASE WHEN seed = 1 THEN score END) AS \"full\" FROM runs GROUP BY 1) SELECT condition, downsample, \"full\", round(\"full\" - downsample, 6) AS delta FROM m WHERE downsample IS NOT NULL AND \"full\" IS NOT NULL")
+@query(f"WITH {ad.RUNS}, m AS (SELECT grp || ':' || condition AS condition, avg(CASE WHEN seed = 0 THEN score END) AS downsample, avg(CASE WHEN seed > 0 THEN score END) AS \"full\" FROM runs GROUP BY 1) SELECT condition, downsample, \"full\", round(\"full\" - downsample, 6) AS delta FROM m WHERE downsample IS NOT NULL AND \"full\" IS NOT NULL")
 def mode_delta(spark, d):
-    r = ad.runs(spark, d).where("seed < 2").select(F.concat_ws(":", "grp", "condition").alias("condition"), F.when(F.col("seed") == 0, "downsample").otherwise("full").alias("mode"), "score")
+    r = ad.runs(spark, d).select(F.concat_ws(":", "grp", "condition").alias("condition"), F.when(F.col("seed") == 0, "downsample").otherwise("full").alias("mode"), "score").groupBy("condition", "mode").agg(F.avg("score").alias("score"))
     return report.mode_delta(r, "condition", "mode", "downsample", "full", "score")
 
 
@@ -301,7 +281,7 @@ def best_condition(spark, d):
 @query(f"WITH {ad.RUNS}, r AS (SELECT condition, grp AS strategy, seed, score FROM runs), ss AS (SELECT DISTINCT grp AS strategy FROM runs) SELECT condition, strategy, seed, score FROM r WHERE NOT (condition = 'h0' AND strategy = 'click') UNION ALL SELECT condition, ss.strategy, seed, score FROM r, ss WHERE condition = 'h0' AND r.strategy = 'click'")
 def baseline_replicated(spark, d):
     r = ad.runs(spark, d).select("condition", F.col("grp").alias("strategy"), "seed", "score")
-    names = [x.strategy for x in r.select("strategy").distinct().orderBy("strategy").limit(100).collect()]  # strategies, not rows
+    names = [x.strategy for x in r.select("strategy").distinct().orderBy("strategy").collect()]  # strategies, not rows
     return report.replicate_baseline(r, names, (F.col("condition") == "h0") & (F.col("strategy") == "click"))
 
 

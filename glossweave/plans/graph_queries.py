@@ -25,14 +25,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _small(spark, d):
-    """The edges without orders and suppliers' parts, for the queries whose SQL has the same part; each has a twin, named _whole, over all edges."""
-    return ad.kg_edges(spark, d).where("relation in ('inRegion', 'inNation', 'hasBrand')")
-
-
-SMALL = KG + ", small AS (SELECT * FROM kg WHERE relation IN ('inRegion', 'inNation', 'hasBrand'))"
-
-
 @query(f"WITH {KG} SELECT relation, count(*) AS n FROM kg GROUP BY relation")
 def edge_relation_counts(spark, d):
     return g.counts(ad.kg_edges(spark, d), "relation")
@@ -134,16 +126,12 @@ def bfs_depth(spark, d):
     return g.bfs_depth(e, e.where("relation = 'inRegion'").select(F.col("target").alias("node")), 4)
 
 
-_E = f"WITH {KG}, e AS (SELECT DISTINCT source, relation, target FROM kg WHERE relation <> 'placedBy')"
-
-
-def _no_orders(spark, d):
-    return ad.kg_edges(spark, d).where("relation <> 'placedBy'")
+_E = f"WITH {KG}, e AS (SELECT DISTINCT source, relation, target FROM kg)"
 
 
 @query(f"{_E} SELECT a.source, a.relation, a.target, b.relation AS relation2, b.target AS target2 FROM e a JOIN e b ON a.source = b.source AND a.relation = b.relation AND a.target <> b.target")
 def sibling_same_relation(spark, d):
-    return g.siblings(_no_orders(spark, d), "same_relation")
+    return g.siblings(ad.kg_edges(spark, d), "same_relation")
 
 
 _E2 = f"WITH {KG}, e AS (SELECT DISTINCT source, relation, target FROM kg WHERE relation = 'inNation' UNION ALL SELECT DISTINCT source, 'livesIn', target FROM kg WHERE relation = 'inNation' AND source LIKE 'c:%')"
@@ -159,7 +147,7 @@ def sibling_same_target(spark, d):
 def sibling_expansion(spark, d):
     allowed = spark.createDataFrame([("suppliedBy", "hasBrand"), ("inNation", "inRegion")], "relation string, relation2 string")
     rules = spark.createDataFrame([("hasBrand",), ("inRegion",)], "relation string")
-    return g.expansions(_no_orders(spark, d), allowed, rules)
+    return g.expansions(ad.kg_edges(spark, d), allowed, rules)
 
 
 @query(f"WITH {KG} SELECT source AS node, list_sort(list(DISTINCT target)) AS qualities FROM kg WHERE relation = 'hasBrand' GROUP BY source")
@@ -247,13 +235,8 @@ def _paired_sql(left: str = "small") -> str:
     return ", ".join(out)
 
 
-@query(f"WITH {SMALL}, {_paired_sql()} SELECT *, 'shared' AS part FROM s_shared UNION ALL SELECT *, 'first' FROM s_first UNION ALL SELECT *, 'second' FROM s_second")
-def paired_overlap_sample(spark, d):
-    return sampling.paired(_small(spark, d), 100, 0.3, 3)
-
-
 @query(f"WITH {KG}, {_paired_sql('kg')} SELECT *, 'shared' AS part FROM s_shared UNION ALL SELECT *, 'first' FROM s_first UNION ALL SELECT *, 'second' FROM s_second")
-def paired_overlap_sample_whole(spark, d):
+def paired_overlap_sample(spark, d):
     return sampling.paired(ad.kg_edges(spark, d), 100, 0.3, 3)
 
 
@@ -302,19 +285,11 @@ def condition_grid(spark, d):
     return sampling.grid(spark, [("low_40", 0.4), ("mid_60", 0.6), ("high_80", 0.8), ("full", 1.0)], [42, 43, 44])
 
 
-@query(f"""WITH {SMALL}, cov AS (SELECT * FROM small WHERE relation = 'inRegion'), {_QUOTA.format(kg='small', want='round_even(sum(n) * 0.5, 0)')},
-short AS (SELECT relation, source_type, quota - coalesce(h, 0) AS short FROM quota LEFT JOIN (SELECT relation, source_type, count(*) AS h FROM cov GROUP BY ALL) USING (relation, source_type)),
-fill AS (SELECT small.* FROM small JOIN short USING (relation, source_type) WHERE relation <> 'inRegion' ORDER BY short DESC, {MD.format("'4'", "'fill'")}, source, relation, target, source_type LIMIT 75)
-SELECT * FROM cov UNION ALL SELECT source, relation, target, source_type FROM fill""")
-def coverage_first_fill(spark, d):
-    return _coverage_first_fill(_small(spark, d))
-
-
 @query(f"""WITH {KG}, cov AS (SELECT * FROM kg WHERE relation = 'inRegion'), {_QUOTA.format(kg='kg', want='round_even(sum(n) * 0.5, 0)')},
 short AS (SELECT relation, source_type, quota - coalesce(h, 0) AS short FROM quota LEFT JOIN (SELECT relation, source_type, count(*) AS h FROM cov GROUP BY ALL) USING (relation, source_type)),
 fill AS (SELECT kg.* FROM kg JOIN short USING (relation, source_type) WHERE relation <> 'inRegion' ORDER BY short DESC, {MD.format("'4'", "'fill'")}, source, relation, target, source_type LIMIT 75)
 SELECT * FROM cov UNION ALL SELECT source, relation, target, source_type FROM fill""")
-def coverage_first_fill_whole(spark, d):
+def coverage_first_fill(spark, d):
     return _coverage_first_fill(ad.kg_edges(spark, d))
 
 
@@ -322,17 +297,10 @@ def _coverage_first_fill(e):
     return sampling.coverage_fill(e, e.where("relation = 'inRegion'"), 100, 0.5, 4)
 
 
-@query(f"""WITH {SMALL}, ends AS (SELECT source AS node FROM small UNION ALL SELECT target FROM small), di AS (SELECT node, count(*) AS degree FROM ends GROUP BY node),
-fill AS (SELECT small.* FROM small JOIN di a ON a.node = source JOIN di b ON b.node = target WHERE relation <> 'inRegion' ORDER BY a.degree + b.degree DESC, {MD.format("'4'", "'dense'")}, source, relation, target, source_type LIMIT 75)
-SELECT * FROM small WHERE relation = 'inRegion' UNION ALL SELECT source, relation, target, source_type FROM fill""")
-def dense_control_fill(spark, d):
-    return _dense_control_fill(_small(spark, d))
-
-
 @query(f"""WITH {KG}, ends AS (SELECT source AS node FROM kg UNION ALL SELECT target FROM kg), di AS (SELECT node, count(*) AS degree FROM ends GROUP BY node),
 fill AS (SELECT kg.* FROM kg JOIN di a ON a.node = source JOIN di b ON b.node = target WHERE relation <> 'inRegion' ORDER BY a.degree + b.degree DESC, {MD.format("'4'", "'dense'")}, source, relation, target, source_type LIMIT 75)
 SELECT * FROM kg WHERE relation = 'inRegion' UNION ALL SELECT source, relation, target, source_type FROM fill""")
-def dense_control_fill_whole(spark, d):
+def dense_control_fill(spark, d):
     return _dense_control_fill(ad.kg_edges(spark, d))
 
 

@@ -46,10 +46,10 @@ def strip_symbols(spark, d):
     return ad.corpus_lines(spark, d).select("doc_id", "line_no", F.md5(tx.strip_symbols(F.col("text"))).alias("digest"))
 
 
-@query(rf"""WITH {ad.LINES}, w AS (SELECT *, {WORDS.format('text')} AS ws FROM lines WHERE lang = 'en'), p AS (SELECT *, list_position(ws, 'the') AS loc FROM w WHERE list_contains(ws, 'the'))
+@query(rf"""WITH {ad.LINES}, w AS (SELECT *, {WORDS.format('text')} AS ws FROM lines), p AS (SELECT *, list_position(ws, 'the') AS loc FROM w WHERE list_contains(ws, 'the'))
 SELECT doc_id, line_no, md5(array_to_string(list_concat(list_concat(ws[1:loc - 1], ['[MASK]']), ws[loc + 1:]), ' ')) AS digest FROM p""")
 def mask_first_occurrence(spark, d):
-    own = ad.corpus_lines(spark, d).where("lang = 'en'").withColumn("m", tx.mask_first(tx.words(F.col("text")), F.lit("the")))
+    own = ad.corpus_lines(spark, d).withColumn("m", tx.mask_first(tx.words(F.col("text")), F.lit("the")))
     return own.where("m is not null").select("doc_id", "line_no", F.md5("m").alias("digest"))
 
 
@@ -92,12 +92,12 @@ def truncated_tokens(spark, d):
     return ad.corpus_lines(spark, d).withColumn("w", tx.words(F.col("text"))).where(F.size("w") > 0).select("doc_id", "line_no", F.md5(F.array_join(tx.truncate(F.col("w")), " ")).alias("digest"))
 
 
-_FREQ = LINE_TOKENS + ", freq AS (SELECT token, count(*) AS n, min(doc_id * 1000000000 + line_no * 100000 + pos - 1) AS first, row_number() OVER (ORDER BY count(*) DESC, min(doc_id * 1000000000 + line_no * 100000 + pos - 1), token) AS place FROM toks WHERE lang = 'en' GROUP BY token)"
+_FREQ = LINE_TOKENS + ", freq AS (SELECT token, count(*) AS n, min({'d': doc_id, 'l': line_no, 'p': pos}) AS first, row_number() OVER (ORDER BY count(*) DESC, min({'d': doc_id, 'l': line_no, 'p': pos}), token) AS place FROM toks GROUP BY token)"
 
 
 def _frequency(spark, d):
-    t = _line_tokens(spark, d, "lang = 'en'")
-    return corpus.token_frequency(t.select("token", (F.col("doc_id") * 1000000000 + F.col("line_no") * 100000 + F.col("pos")).alias("position")))
+    t = _line_tokens(spark, d)
+    return corpus.token_frequency(t.select("token", F.struct("doc_id", "line_no", "pos").alias("position")))
 
 
 @query(f"WITH {_FREQ} SELECT token, n, CAST(place AS INTEGER) AS place FROM freq")
@@ -121,11 +121,11 @@ def anchor_selection(spark, d):
     return corpus.select_anchors(_frequency(spark, d), "mid", 0.05, 1)
 
 
-_TRANS = LINE_TOKENS + ", " + ad.LEXICON + ", en AS (SELECT * FROM toks WHERE lang = 'en')"
+_TRANS = LINE_TOKENS + ", " + ad.LEXICON + ", en AS (SELECT * FROM toks)"
 
 
 def _sentence_tokens(spark, d):
-    t = _line_tokens(spark, d, "lang = 'en'")
+    t = _line_tokens(spark, d)
     return t.select(F.concat_ws(":", "doc_id", "line_no").alias("sentence"), F.col("pos").alias("position"), "token")
 
 
@@ -152,11 +152,11 @@ def missing_tokens(spark, d):
 
 
 @query(f"""WITH RECURSIVE {_ANCHOR}, {ad.LEXICON}, anchors AS (SELECT token AS key FROM fold WHERE token IS NOT NULL), back AS (SELECT artificial, key FROM lexicon SEMI JOIN anchors USING (key)),
-tr AS (SELECT doc_id, line_no, pos - 1 AS pos, artificial FROM toks JOIN lexicon ON lexicon.lang = 'a' AND key = token WHERE toks.lang = 'en')
+tr AS (SELECT doc_id, line_no, pos - 1 AS pos, artificial FROM toks JOIN lexicon ON lexicon.lang = 'a' AND key = token)
 SELECT doc_id, line_no, CAST(pos AS INTEGER) AS pos, coalesce(key, tr.artificial) AS token FROM tr LEFT JOIN back ON back.artificial = tr.artificial""")
 def anchor_overwrite(spark, d):
     lex = ad.lexicon(spark, d)
-    own = _line_tokens(spark, d, "lang = 'en'").drop("lang").join(lex.where("lang = 'a'").select(F.col("key").alias("token"), "artificial"), "token")
+    own = _line_tokens(spark, d).drop("lang").join(lex.where("lang = 'a'").select(F.col("key").alias("token"), "artificial"), "token")
     anchors = corpus.select_anchors(_frequency(spark, d), "mid", 0.05, 1)
     return corpus.overwrite(own.select("doc_id", "line_no", "pos", F.col("artificial").alias("token")), anchors, lex).select("doc_id", "line_no", "pos", "token")
 
@@ -177,9 +177,9 @@ def parallel_zip_by_line(spark, d):
     return both.select("pair", "line_no", F.md5("lang_a").alias("lang_a"), F.md5("lang_b").alias("lang_b"))
 
 
-@query(f"WITH {LINE_TOKENS}, t AS (SELECT DISTINCT token FROM toks WHERE lang = 'en') SELECT token, CAST(row_number() OVER (ORDER BY encode(token)) + 4 AS INTEGER) AS id FROM t UNION ALL SELECT s, CAST(i - 1 AS INTEGER) FROM (SELECT unnest(['[PAD]', '[UNK]', '[CLS]', '[SEP]', '[MASK]']) AS s, generate_subscripts(['[PAD]', '[UNK]', '[CLS]', '[SEP]', '[MASK]'], 1) AS i)")
+@query(f"WITH {LINE_TOKENS}, t AS (SELECT DISTINCT token FROM toks) SELECT token, CAST(row_number() OVER (ORDER BY encode(token)) + 4 AS INTEGER) AS id FROM t UNION ALL SELECT s, CAST(i - 1 AS INTEGER) FROM (SELECT unnest(['[PAD]', '[UNK]', '[CLS]', '[SEP]', '[MASK]']) AS s, generate_subscripts(['[PAD]', '[UNK]', '[CLS]', '[SEP]', '[MASK]'], 1) AS i)")
 def fixed_vocabulary(spark, d):
-    return corpus.vocabulary(_line_tokens(spark, d, "lang = 'en'"), ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"])
+    return corpus.vocabulary(_line_tokens(spark, d), ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"])
 
 
 @query(f"WITH {_FREQ} SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 1 AS INTEGER) AS id FROM freq WHERE n >= 2 UNION ALL SELECT '[PAD]', 0 UNION ALL SELECT '[UNK]', 1")
@@ -209,10 +209,10 @@ def artificial_tokens(spark, d):
     return lexicon.artificial_tokens(ad.lexicon(spark, d).where("lang = 'a'").select("key"), "hiragana", 42)
 
 
-@query(rf"WITH {LINE_TOKENS} SELECT doc_id, line_no, md5('<' || lang || '> ' || string_agg(CASE WHEN token IN ('.', ',', ';') THEN token || '_' || lang ELSE token END, ' ' ORDER BY pos) || CASE lang WHEN 'en' THEN ' </en>' ELSE ' </s>' END) AS digest FROM toks WHERE lang IN ('en', 'fr') GROUP BY doc_id, line_no, lang")
+@query(rf"WITH {LINE_TOKENS} SELECT doc_id, line_no, md5('<' || lang || '> ' || string_agg(CASE WHEN token IN ('.', ',', ';') THEN token || '_' || lang ELSE token END, ' ' ORDER BY pos) || CASE lang WHEN 'en' THEN ' </en>' ELSE ' </s>' END) AS digest FROM toks GROUP BY doc_id, line_no, lang")
 def structural_tokens(spark, d):
-    own = ad.corpus_lines(spark, d).where("lang in ('en', 'fr')").withColumn("w", probing.punctuated(tx.words(F.col("text")), F.col("lang"), "disjoint")).where(F.size("w") > 0)
-    return own.select("doc_id", "line_no", F.md5(F.array_join(probing.wrapped(F.col("w"), F.col("lang"), {"en": ("<en>", "</en>"), "fr": ("<fr>", "</s>")}), " ")).alias("digest"))
+    own = ad.corpus_lines(spark, d).withColumn("w", probing.punctuated(tx.words(F.col("text")), F.col("lang"), "disjoint")).where(F.size("w") > 0)
+    return own.select("doc_id", "line_no", F.md5(F.array_join(probing.wrapped(F.col("w"), F.col("lang"), {"en": ("<en>", "</en>"), "fr": ("<fr>", "</s>"), "de": ("<de>", "</s>"), "es": ("<es>", "</s>")}), " ")).alias("digest"))
 
 
 _LOG = "'Test 1\nEvaluated ' || n || ' word pairs\ntop-1 precision : 0.' || lpad(CAST(n % 100 AS VARCHAR), 2, '0') || '00 (x)\ntop-5 precision : 0.8000\nTest 2\nover ' || (n * 2) || ' sentences\ntop-1 precision : 0.6500\ntop-5 precision : 0.9000\n'"

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; where it is unset (tests on one machine), below a temporary folder."""
+    """A new path below spark.checkpoint.dir; where it is unset on a local master (tests), below a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         base = "file://" + tempfile.mkdtemp(prefix="glossweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base and not base.startswith("file:"):

@@ -152,7 +152,7 @@ def test_vectors(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0])], "id long, vec array<double>")
     top = retrieval.top_k(v.where("id = 0"), v.where("id > 0"), 3)
     assert [r.g for r in top.orderBy("place").collect()] == [2, 1, 3]  # at a tie the smaller id
-    blocked = retrieval.top_k_blocked(v.where("id = 0"), v.where("id > 0"), 3)
+    blocked = retrieval.top_k(v.where("id = 0"), v.where("id > 0"), 3, block_rows=2)
     assert [r.g for r in blocked.orderBy("place").collect()] == [2, 1, 3]
     with pytest.raises(ValueError):
         retrieval.extreme_pairs(v, 1, True, most=2)

@@ -117,7 +117,7 @@ def two_proportions(tables: DataFrame, side: str = "greater") -> DataFrame:
     z = z_of(*(F.col(c) for c in ("hits_a", "n_a", "hits_b", "n_b")))
     out = tables.withColumn("z", z)
     tail = normal_tail(F.col("z")) if side == "greater" else normal_tail(-F.col("z")) if side == "less" else 2 * normal_tail(F.abs("z"))
-    return out.withColumn("p_z", tail)
+    return out.withColumn("p_z", F.when(F.isnan("z"), F.lit(float("nan"))).otherwise(tail))  # a NaN of pandas would come back as null
 
 
 def significant(p: Column, level: float = 0.05) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -214,18 +214,24 @@ def repair_degrees(ranked: DataFrame, base: DataFrame, least: int, budget: int,
 
 
 def _cover(edges: list[tuple], seed: int) -> list[int]:
-    """Numbers of edges that touch every node: matched pairs of rare nodes first, then one edge for each node left."""
-    degree = Counter(n for e in edges for n in (e[0], e[2]))
-    order = sorted(range(len(edges)), key=lambda k: (min(degree[edges[k][0]], degree[edges[k][2]]), degree[edges[k][0]] + degree[edges[k][2]], _draw(seed, *edges[k]), k))
+    """Numbers of edges that touch every node: matched pairs of rare nodes first, then for each node left, rare ones first, the edge of it
+    whose other end is uncovered too, at a tie the one with the smaller sum of degrees."""
+    degree, at = Counter(n for e in edges for n in (e[0], e[2])), defaultdict(list)
+    sums = [degree[e[0]] + degree[e[2]] for e in edges]
+    drawn = [_draw(seed, *e) for e in edges]
+    for k, e in enumerate(edges):
+        at[e[0]].append(k)
+        at[e[2]].append(k)
     covered, chosen = set(), []
-    for k in order:
-        if edges[k][0] not in covered and edges[k][2] not in covered:
+    for k in sorted(range(len(edges)), key=lambda k: (min(degree[edges[k][0]], degree[edges[k][2]]), sums[k], drawn[k], k)):
+        if not covered & {edges[k][0], edges[k][2]}:
             chosen.append(k)
-            covered.update((edges[k][0], edges[k][2]))
-    for k in order:
-        if edges[k][0] not in covered or edges[k][2] not in covered:
-            chosen.append(k)
-            covered.update((edges[k][0], edges[k][2]))
+            covered |= {edges[k][0], edges[k][2]}
+    for node in sorted(degree.keys() - covered, key=lambda n: (degree[n], n)):
+        if node not in covered:
+            best = min(at[node], key=lambda k: (edges[k][0] in covered, edges[k][2] in covered, sums[k], drawn[k], k))
+            chosen.append(best)
+            covered |= {edges[best][0], edges[best][2]}
     return sorted(chosen)
 
 
@@ -272,29 +278,49 @@ def relation_first(edges: DataFrame, sample: DataFrame, seed: int, trials: int =
     return fold(marked, step, EDGE, COLUMNS)
 
 
-def relation_control(edges: DataFrame, sample: DataFrame, wanted: DataFrame, seed: int, trials: int = 200) -> DataFrame:
-    """A sample moved towards wanted counts (relation, n) by swaps: at most four times its size, each strictly better."""
-    counts = {r.relation: r.n for r in wanted.collect()}  # one row a relation
+def relation_control(edges: DataFrame, sample: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
+    """A sample moved towards wanted counts (n by relation, or by relation and source_type) by swaps, while both ends of the edge that leaves
+    keep another one. The size stays.
+
+    A swap takes an edge of a group with too many and brings one of a group with too few, so each brings the counts two nearer, and
+    no group changes sides. An edge that holds a node alone waits until another edge comes to that node.
+    """
+    keys = [c for c in ("relation", "source_type") if c in wanted.columns]
+    counts = {tuple(r[c] for c in keys): r.n for r in wanted.collect()}  # one row a group
     marked = edges.select(*COLUMNS).join(sample.select(*COLUMNS).withColumn("m", F.lit(1)), COLUMNS, "left").select(*COLUMNS, F.coalesce("m", F.lit(0)).alias("m"))
+    places = [COLUMNS.index(c) for c in keys]
 
     def step(rows: list[tuple]) -> Iterable[tuple]:
-        inside, outside = defaultdict(list), defaultdict(list)
-        for k, r in enumerate(rows):
-            (inside if r[4] else outside)[r[1]].append(k)
-        for pools in (inside, outside):
-            for pool in pools.values():
-                pool.sort(key=lambda k: _draw(seed, *rows[k][:4]), reverse=True)
-        size = sum(map(len, inside.values()))
-        for _ in range(4 * size):
-            excess = {r: len(inside[r]) - counts.get(r, 0) for r in {*inside, *counts}}
-            leave = max((r for r in excess if inside[r]), key=lambda r: (excess[r], r), default=None)
-            come = min((r for r in excess if outside[r]), key=lambda r: (excess[r], r), default=None)
-            if leave is None or come is None or excess[leave] <= 0 or excess[come] >= 0:
-                break
-            gone, new = inside[leave].pop(), outside[come].pop()
-            inside[come].insert(0, new)
-            outside[leave].insert(0, gone)
-        return [rows[k][:4] for k in sorted(k for pool in inside.values() for k in pool)]
+        group = [tuple(r[p] for p in places) for r in rows]
+        chosen = {k for k, r in enumerate(rows) if r[4]}
+        excess = Counter(group[k] for k in chosen)
+        excess.subtract(counts)
+        degree = Counter(n for k in chosen for n in (rows[k][0], rows[k][2]))
+        drawn = sorted(range(len(rows)), key=lambda k: _draw(seed, *rows[k][:4]))
+        leaving = deque(k for k in drawn if k in chosen and excess[group[k]] > 0)
+        coming = deque(k for k in drawn if k not in chosen and excess[group[k]] < 0)
+        waiting: dict[str, list[int]] = defaultdict(list)
+        while leaving and coming:
+            gone, new = leaving[0], coming[0]
+            alone = next((n for n in (rows[gone][0], rows[gone][2]) if degree[n] < 2), None)
+            if excess[group[gone]] <= 0:
+                leaving.popleft()
+            elif alone is not None:
+                waiting[alone].append(leaving.popleft())
+            elif excess[group[new]] >= 0:
+                coming.popleft()
+            else:
+                leaving.popleft()
+                coming.popleft()
+                chosen.discard(gone)
+                chosen.add(new)
+                for k, by in ((gone, -1), (new, 1)):
+                    excess[group[k]] += by
+                    degree[rows[k][0]] += by
+                    degree[rows[k][2]] += by
+                for n in (rows[new][0], rows[new][2]):
+                    leaving.extend(waiting.pop(n, ()))
+        return [rows[k][:4] for k in sorted(chosen)]
 
     return fold(marked, step, EDGE, COLUMNS)
 

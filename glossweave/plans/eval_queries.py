@@ -325,9 +325,14 @@ def two_proportion_z(spark, d):
     return _tables(spark, d).select("lang_a", "lang_b", F.round(z, 8).alias("z"), stats.hits_of(F.col("hits_a") / F.col("n_a"), F.col("n_a")).alias("back"))
 
 
-@query()
+#: The normal tail by Simpson's rule over 4,000 parts; Spark's side uses the error function.
+_TAIL = "0.5 - z / 24000 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 4001), lambda i: exp(-(z * i / 4000) * (z * i / 4000) / 2) * CASE WHEN i = 0 OR i = 4000 THEN 2 WHEN i % 2 = 1 THEN 8 ELSE 4 END)) / 1"
+
+
+@query(f"WITH {_TABLES}, p AS (SELECT *, (hits_a + hits_b) / (n_a + n_b) AS pool FROM tab), z AS (SELECT lang_a, lang_b, hits_a, n_a, hits_b, n_b, (hits_a / n_a - hits_b / n_b) / sqrt(pool * (1 - pool) * (1 / n_a + 1 / n_b)) AS z FROM p) SELECT lang_a, lang_b, hits_a, n_a, hits_b, n_b, round(z, 8) AS z, round({_TAIL}, 8) AS p_z FROM z")
 def two_proportion_p(spark, d):
-    return stats.two_proportions(_tables(spark, d))
+    out = stats.two_proportions(_tables(spark, d))
+    return out.withColumn("z", F.round("z", 8)).withColumn("p_z", F.round("p_z", 8))
 
 
 @query("SELECT lang, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) FILTER (WHERE trim(text, ' ') <> '') AS filled, count(*) AS n FROM documents GROUP BY lang")

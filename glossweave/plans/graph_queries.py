@@ -350,7 +350,7 @@ def relation_first_repair(spark, d):
 @query()
 def relation_control(spark, d):
     e = ad.kg_edges(spark, d)
-    return greedy.relation_control(e, sampling.stratified_fraction(e, 0.3, 1), sampling.quotas(e.where("relation <> 'inRegion'"), total=100).groupBy("relation").agg(F.sum("quota").alias("n")), 1)
+    return greedy.relation_control(e, sampling.stratified_fraction(e, 0.3, 1), sampling.quotas(e.where("relation <> 'inRegion'"), total=100).groupBy("relation", "source_type").agg(F.sum("quota").alias("n")), 1)
 
 
 @query()

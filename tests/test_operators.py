@@ -1,6 +1,8 @@
 """Invariants of samplers, folds and generators; sources, sinks and streams."""
 
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -219,3 +221,99 @@ def test_assertions_as_batch_and_stream(spark, tmp_path):
     q = corpus_stream.stream_assertions(spark, str(tmp_path / "in")).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
     q.awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == sorted(want, key=repr)
+
+
+def random_edges(seed, nodes=30, n=120):
+    r = random.Random(seed)
+    out = {(f"n{r.randrange(nodes)}", r.choice("abc"), f"n{r.randrange(nodes)}") for _ in range(n)}
+    return sorted((s, p, t, r.choice(["x", "y"])) for s, p, t in out if s != t)
+
+
+def test_cover_against_a_plain_version(spark):
+    for seed in range(4):
+        rows_in = random_edges(seed, 25, 40)
+        degree = lambda n: sum((e[0] == n) + (e[2] == n) for e in rows_in)
+        drawn = lambda e: greedy._draw(seed, *e)
+        chosen = []
+        touched = lambda: {n for e in chosen for n in (e[0], e[2])}
+        for e in sorted(rows_in, key=lambda e: (min(degree(e[0]), degree(e[2])), degree(e[0]) + degree(e[2]), drawn(e))):
+            if e[0] not in touched() and e[2] not in touched():
+                chosen.append(e)
+        for node in sorted({n for e in rows_in for n in (e[0], e[2])}, key=lambda n: (degree(n), n)):
+            if node not in touched():
+                own = [e for e in rows_in if node in (e[0], e[2])]
+                chosen.append(min(own, key=lambda e: (e[0] in touched(), e[2] in touched(), degree(e[0]) + degree(e[2]), drawn(e))))
+        assert rows(greedy.edge_cover(spark.createDataFrame(rows_in, EDGE), seed)) == sorted(chosen)
+
+
+def test_relation_control_keeps_nodes_and_swaps_all_it_can(spark):
+    for seed in range(3):
+        all_edges = random_edges(seed)
+        e = spark.createDataFrame(all_edges, EDGE)
+        sample = spark.createDataFrame(random.Random(seed).sample(all_edges, 50), EDGE)
+        wanted = spark.createDataFrame([(r, t, n) for r, n in (("a", 20), ("b", 4), ("c", 1)) for t in "xy"], "relation string, source_type string, n int")
+        before, after = rows(sample), rows(greedy.relation_control(e, sample, wanted, seed))
+        count = lambda part: Counter((x[1], x[3]) for x in part)
+        nodes = lambda part: Counter(n for x in part for n in (x[0], x[2]))
+        target = {(r.relation, r.source_type): r.n for r in wanted.collect()}
+        distance = lambda part: sum(abs(count(part)[k] - n) for k, n in target.items())
+        assert len(after) == len(set(after)) == len(before) and set(after) <= set(all_edges)
+        assert distance(after) < distance(before) and set(nodes(before)) <= set(nodes(after))
+        over = [x for x in after if count(after)[x[1], x[3]] > target[x[1], x[3]] and nodes(after)[x[0]] > 1 and nodes(after)[x[2]] > 1]
+        under = [x for x in all_edges if x not in after and count(after)[x[1], x[3]] < target[x[1], x[3]]]
+        assert not over or not under
+
+
+def test_capped_graph_against_a_plain_version(spark):
+    all_edges = random_edges(9, 15, 150)
+    got = [tuple(r) for r in greedy.capped_graph(spark.createDataFrame(all_edges, EDGE), 4, ["source", "relation", "target", "source_type"], 40).collect()]
+    want = []
+    near = lambda n: {m for x in want for m in (x[0], x[2]) if n in (x[0], x[2]) and m != n}
+    for x in sorted(all_edges, key=lambda x: x[:3]):
+        if len(want) < 40 and x[:3] not in {y[:3] for y in want} and (x[2] in near(x[0]) or len(near(x[0])) < 4 and len(near(x[2])) < 4):
+            want.append(x)
+    assert sorted(got) == sorted(want)
+
+
+def test_similarities_in_blocks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    m = r.normal(size=(41, 6))
+    m[7] = m[3]
+    v = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(m)], "id long, vec array<double>")
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = (unit @ unit.T)[~np.eye(41, dtype=bool)]
+    for size in (1000, 7):
+        got = retrieval.similarity_distribution(v, size, 64).first()
+        want = [s.mean(), np.sort(s)[-(-len(s) // 2) - 1], s.std(ddof=1), s.min(), *np.quantile(s, [0.01, 0.05, 0.95, 0.99])]
+        assert got.pairs == len(s) and np.allclose(list(got)[1:], want, atol=2e-6)
+        top = rows(retrieval.extreme_pairs(v, 3, True, size))
+        assert any(x[:2] == (3, 7) and x[2] > 0.999999 for x in top) and len(top) == 3
+        near = retrieval.top_k(v, v, 2, size).where("place = 1").collect()
+        assert {(x.q, x.g) for x in near if x.q in (3, 7)} == {(3, 3), (7, 3)}
+    assert retrieval.similarity_distribution(v.limit(1)).count() == 0 and retrieval.top_k(v.limit(0), v, 2).count() == 0
+
+
+def test_places_without_one_task(spark):
+    from glossweave.operators.numbering import numbered
+
+    df = spark.range(500).select((F.col("id") * 7919 % 503).alias("k"))
+    assert [r.place for r in numbered(df, F.desc("k")).orderBy(F.desc("k")).collect()] == list(range(500))
+    assert numbered(df.limit(0), "k").count() == 0
+
+
+def test_partners_are_drawn_evenly_from_the_whole_group(spark):
+    e = spark.createDataFrame([("hub", "likes", f"t{k}") for k in range(300)] + [("hub", "has", f"c{k}") for k in range(200)], "source string, relation string, target string")
+    rules = {r: sentences.Grammar(g) for r, g in grammar.as_dict(grammar.rules(grammar.grammar_lines(spark, GRAMMAR))).items()}
+    drawn = sentences.partners(e, rules, {"likes": ["has"]}, 1).collect()
+    shared = [r for r in drawn if r.kind == "share" and r.relation == "likes"]
+    assert len(shared) == 6 * 300 and all(r.target2 != r.target for r in shared) and len({r.target2 for r in shared}) > 290
+    assert {r.relation2 for r in drawn if r.kind == "follow"} == {"has"} and len({r.target2 for r in drawn if r.kind == "follow"}) > 190
+    assert not [r for r in drawn if r.kind == "join"]
+
+
+def test_unfolded_grammar(spark):
+    g = sentences.Grammar(grammar.as_dict(grammar.rules(grammar.grammar_lines(spark, GRAMMAR)))["likes"])
+    assert [p.words for p in g.predicates.items] == [("likes",), ("is", "fond", "of")] and abs(g.predicates.until[0] - 4 / 7) < 1e-12 and g.described == 1.0
+    assert g.predicates.at(0.5).verb and not g.predicates.at(0.6).verb and g.links["has"].at(0.3) == ", and"

@@ -137,7 +137,8 @@ def strategy(condition: Column) -> Column:
 
 
 def mean_pm_sd(mean: Column, sd: Column, digits: int = 4) -> Column:
-    return F.when(mean.isNull(), "N/A").otherwise(F.concat(F.format_string(f"%.{digits}f", mean), F.lit(" +/- "), F.coalesce(F.format_string(f"%.{digits}f", sd), F.lit("N/A"))))
+    number = lambda c: F.when(c.isNull(), "N/A").otherwise(F.format_string(f"%.{digits}f", c))
+    return F.when(mean.isNull(), "N/A").otherwise(F.concat(number(mean), F.lit(" +/- "), number(sd)))
 
 
 def half_even(value: Column) -> Column:

@@ -139,45 +139,57 @@ def backbone(edges: DataFrame, lemmas: DataFrame, roots: list[str], priority: li
     return fold(rows.unionByName(own_lemmas), step, EDGE + ", depth int", ["source", "relation", "target", "l"])
 
 
-def expand(ranked: DataFrame, base: DataFrame, target_edges: int, node_limit: int, max_degree: int, loose: str = "RelatedTo", loose_ratio: float = 0.2, loose_most: int = 10**6) -> DataFrame:
+def expand(ranked: DataFrame, base: DataFrame, target_edges: int, node_limit: int, max_degree: int, loose: str = "RelatedTo", loose_ratio: float = 0.2, loose_most: int = 10**6, priority: list[str] | None = None) -> DataFrame:
     """Edges added to base from ranked candidates (rank, relation, source_lemma, target_lemma, source_node, target_node, weight).
 
     A lemma outside the graph becomes a node while node_limit allows; if its edge is refused the node goes again. The loose relation
-    has a quota. A second pass takes candidates whose ends are both known by then.
+    has a quota. A second pass takes candidates whose ends are both known by then, anew in order: priority of the relation (others last),
+    heavy first, a low sum of neighbours, then the names.
     """
+    firm = {r: k for k, r in enumerate(priority or [], 1)}
     quota = min(loose_most, int(target_edges * loose_ratio))
-    known = base.select(F.lit(-1).alias("rank"), "relation", F.lit(None).cast("string").alias("source_lemma"), F.lit(None).cast("string").alias("target_lemma"), F.col("source").alias("source_node"), F.col("target").alias("target_node"), "source_type")
-    rows = known.unionByName(ranked.select("rank", "relation", "source_lemma", "target_lemma", "source_node", "target_node", F.lit("conceptnet").alias("source_type")))
+    known = base.select(F.lit(-1).alias("rank"), "relation", F.lit(None).cast("string").alias("source_lemma"), F.lit(None).cast("string").alias("target_lemma"), F.col("source").alias("source_node"), F.col("target").alias("target_node"), "source_type", F.lit(0.0).alias("weight"))
+    rows = known.unionByName(ranked.select("rank", "relation", "source_lemma", "target_lemma", "source_node", "target_node", F.lit("conceptnet").alias("source_type"), F.col("weight").cast("double").alias("weight")))
 
     def step(all_rows: list[tuple]) -> Iterable[tuple]:
         g, nodes, made, used = Graph(max_degree), set(), {}, 0
         candidates = []
-        for rank, relation, sl, tl, s, t, kind in all_rows:
+        for rank, relation, sl, tl, s, t, kind, weight in all_rows:
             if rank < 0:
                 g.add(s, relation, t, kind)
                 nodes |= {s, t}
             else:
-                candidates.append((relation, sl, tl, s, t, kind))
+                candidates.append((relation, sl, tl, s, t, kind, weight))
         start = len(g.edges)
-        for second in (False, True):
-            for relation, sl, tl, s, t, kind in candidates:
-                if len(g.edges) - start >= target_edges:
-                    break
-                if relation == loose and used >= quota:
-                    continue
-                s, t = s or made.get(sl), t or made.get(tl)
-                new = None
-                if s is None or t is None:
-                    if second or len(nodes) >= node_limit:
-                        continue
-                    lemma = sl if s is None else tl
-                    new = f"conceptnet:{lemma.replace(' ', '_')}:{len(made)}"
-                    s, t = s or new, t or new
-                if g.add(s, relation, t, kind):
-                    used += relation == loose
-                    if new:
-                        nodes.add(new)
-                        made[lemma] = new
+
+        def admits(relation: str) -> bool:
+            return relation != loose or used < quota
+
+        for relation, sl, tl, s, t, kind, _ in candidates:
+            if len(g.edges) - start >= target_edges:
+                break
+            s, t = s or made.get(sl), t or made.get(tl)
+            unknown = sl if s is None else tl if t is None else None
+            if not admits(relation) or unknown is not None and len(nodes) >= node_limit:
+                continue
+            new = None
+            if unknown is not None:
+                slug, k = unknown.replace(" ", "_"), len(made)
+                while (new := f"conceptnet:{slug}:{k}") in nodes:
+                    k += 1
+                s, t = s or new, t or new
+            if g.add(s, relation, t, kind):
+                used += relation == loose
+                if new:
+                    nodes.add(new)
+                    made[unknown] = new
+        known_now = [(relation, s or made.get(sl), t or made.get(tl), kind, weight) for relation, sl, tl, s, t, kind, weight in candidates]
+        again = [(firm.get(r, 99), -w, len(g.near[s]) + len(g.near[t]), s, t, r, kind) for r, s, t, kind, w in known_now if s and t]
+        for *_, s, t, relation, kind in sorted(again, key=lambda x: x[:6]):
+            if len(g.edges) - start >= target_edges:
+                break
+            if admits(relation) and g.add(s, relation, t, kind):
+                used += relation == loose
         return g.edges[start:]
 
     return fold(rows, step, EDGE, ["rank", "relation", "source_node", "target_node"])

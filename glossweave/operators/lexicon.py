@@ -84,3 +84,8 @@ def union_tokens(a: DataFrame, b: DataFrame) -> DataFrame:
     both = a.select("token", F.lit(0).alias("side"), "ordinal").unionByName(b.select("token", F.lit(1).alias("side"), "ordinal"))
     first = both.groupBy("token").agg(F.min(F.struct("side", "ordinal")).alias("at"))
     return first.select("token", F.row_number().over(Window.orderBy("at", "token")).alias("place"))
+
+
+def nouns(nodes: DataFrame) -> DataFrame:
+    """The nodes (pos) that are nouns."""
+    return nodes.where(F.lower("pos") == "n")

@@ -106,3 +106,8 @@ def punctuated(tokens: Column, lang: Column, setting: str, marks: str = ".,;") -
     if setting == "disjoint":
         return F.transform(tokens, lambda t: F.when(is_mark(t), F.concat(t, F.lit("_"), lang)).otherwise(t))
     return tokens
+
+
+def entity_track(probes: DataFrame, track: str = "entity") -> DataFrame:
+    """The probes of one track (a column of that name)."""
+    return probes.where(F.col("track") == track)

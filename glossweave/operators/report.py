@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glossweave.functions.text import density_percent, mean_pm_sd, strategy
+
 
 def summary(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """(keys, n, mean, sd, least, most)."""
@@ -85,6 +87,22 @@ def condition_order(df: DataFrame, order: list[str]) -> DataFrame:
     return df.orderBy(F.array_position(F.array(*map(F.lit, order)), F.col("condition")))
 
 
+def run_summary(runs: DataFrame, metrics: list[str], order: list[str]) -> DataFrame:
+    """One row a condition of `order` (others last, by name): density, strategy, number and list of its seeds, mean and sample SD of the metrics."""
+    values = [a for m in metrics for a in (F.round(F.avg(m), 6).alias(f"{m}_mean"), F.round(F.stddev_samp(m), 6).alias(f"{m}_sd"))]
+    seeds = F.array_sort(F.collect_set("seed"))
+    out = runs.groupBy("condition").agg(F.size(seeds).alias("n_seeds"), F.array_join(F.transform(seeds, lambda s: s.cast("string")), ",").alias("seeds"), *values)
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("condition"))
+    own = out.select("condition", density_percent(F.col("condition")).alias("density"), strategy(F.col("condition")).alias("strategy"), *out.columns[1:])
+    return own.orderBy(F.when(place == 0, len(order) + 1).otherwise(place), "condition")
+
+
+def mean_table(df: DataFrame, label: str, metrics: list[str], digits: int = 4) -> str:
+    """A Markdown table of `mean +/- sd` cells from columns metric_mean and metric_sd; N/A where they are null."""
+    cells = df.select(F.col(label).cast("string").alias(label), *(mean_pm_sd(F.col(f"{m}_mean"), F.col(f"{m}_sd"), digits).alias(m) for m in metrics))
+    return markdown(cells, [label, *metrics])
+
+
 def markdown(df: DataFrame, columns: list[str]) -> str:
     """A table of a summary, all its rows."""
     rows = df.select(*(F.col(c).cast("string") for c in columns)).toLocalIterator()

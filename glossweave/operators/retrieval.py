@@ -100,6 +100,20 @@ def mean_vectors(rows: DataFrame, *keys: str) -> DataFrame:
     return parts.groupBy(*keys).agg(F.transform(sorted_parts, lambda s: s["__x"]).alias("vec"))
 
 
+def token_vectors(rows: DataFrame, epsilon: float = 0.0) -> DataFrame:
+    """(token, vec): the mean of a token's vectors in all its contexts (token, vec), divided by its length."""
+    return normalized(mean_vectors(rows, "token"), epsilon)
+
+
+def chosen_pairs(df: DataFrame, chosen: list, most: int = 1000) -> DataFrame:
+    """(a, b, sim) of the unordered pairs of a short list of ids (at most `most`; a longer one is an error), of those that are in df."""
+    if len(set(chosen)) > most:
+        raise ValueError(f"more than {most} chosen ids")
+    own = normalized(df.where(F.col("id").isin(list(set(chosen)))))
+    a, b = own.select(F.col("id").alias("a"), F.col("vec").alias("va")), own.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
+    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", dot(F.col("va"), F.col("vb")).alias("sim"))
+
+
 def pooled_sentences(tokens: DataFrame, vectors: DataFrame, size: int, exclude: list[str] | None = None) -> DataFrame:
     """(sentence, vec): mean of the vectors of a sentence's tokens (sentence, token); repeats count, unknown tokens don't,
     and a sentence without a known token has zeros."""

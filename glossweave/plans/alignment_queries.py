@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossweave.operators import alignment, graph
+from glossweave.operators import alignment, graph, lexicon, probing, report, retrieval
 from glossweave.sources import adapters as ad
 
 from .text_queries import WORDS
@@ -144,3 +144,35 @@ def noun_connectivity(spark, d):
     edges = ad.kg_edges(spark, d)
     nouns = edges.where("relation in ('inNation', 'suppliedBy')").select(F.col("source").alias("node"))
     return graph.noun_neighbours(edges, nouns, ["inNation", "suppliedBy", "hasBrand"])
+
+
+_CONTEXTS = ad.VECTORS + ", m AS (SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(vec) AS v, generate_subscripts(vec, 1) AS i FROM vectors) GROUP BY label, i), t AS (SELECT label, list(v ORDER BY i) AS vec FROM m GROUP BY label), u AS (SELECT label, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec FROM t)"
+
+
+@query(f"WITH {_CONTEXTS} SELECT label AS token, round(vec[1], 6) AS first, round(vec[64], 6) AS last, round(list_dot_product(vec, vec), 6) AS length FROM u")
+def contextual_token_vectors(spark, d):
+    own = retrieval.token_vectors(ad.vectors(spark, d).select(F.col("label").alias("token"), "vec"))
+    return own.select("token", F.round(F.col("vec")[0], 6).alias("first"), F.round(F.col("vec")[63], 6).alias("last"), F.round(retrieval.dot(F.col("vec"), F.col("vec")), 6).alias("length"))
+
+
+@query(f"WITH {ad.VECTORS}, n AS (SELECT id, list_transform(vec, lambda x: x / (sqrt(list_dot_product(vec, vec)) + 1e-9)) AS vec FROM vectors WHERE id IN (3, 7, 19, 42)) SELECT x.id AS a, y.id AS b, round(list_dot_product(x.vec, y.vec), 6) AS sim FROM n x JOIN n y ON x.id < y.id")
+def chosen_token_pairs(spark, d):
+    return retrieval.chosen_pairs(ad.vectors(spark, d), [3, 42, 7, 19, 7, 10**9]).withColumn("sim", F.round("sim", 6))
+
+
+_NAMED = "CASE condition WHEN 'h0' THEN 'low_40_relation' WHEN 'h1' THEN 'mid_60_coverage' WHEN 'h2' THEN 'high_80_relation' WHEN 'h3' THEN 'full_graph' ELSE condition END"
+
+
+@query(f"""WITH {ad.RUNS}, r AS (SELECT {_NAMED} AS condition, seed, score FROM runs)
+SELECT condition, CASE WHEN condition LIKE 'low_40%' THEN 40 WHEN condition LIKE 'mid_60%' THEN 60 WHEN condition LIKE 'high_80%' THEN 80 ELSE 100 END AS density,
+CASE WHEN condition LIKE '%@_relation' ESCAPE '@' THEN 'relation-first' WHEN condition LIKE '%@_coverage' ESCAPE '@' THEN 'coverage-first' ELSE 'full' END AS strategy,
+CAST(count(DISTINCT seed) AS INTEGER) AS n_seeds, array_to_string(list_sort(list(DISTINCT seed)), ',') AS seeds, round(avg(score), 6) AS score_mean, round(stddev_samp(score), 6) AS score_sd FROM r GROUP BY condition""")
+def run_summary(spark, d):
+    r = ad.runs(spark, d).withColumn("condition", F.expr(_NAMED))
+    return report.run_summary(r, ["score"], ["low_40_relation", "mid_60_coverage", "high_80_relation", "full_graph"])
+
+
+@query(f"""WITH {ad.HITS} SELECT id, target FROM hits WHERE lang = 'en' AND hit = 1""")
+def entity_probes(spark, d):
+    h = ad.hits(spark, d).select("id", "target", F.when(F.col("hit") == 1, "entity").otherwise("relation").alias("track"), F.when(F.col("lang") == "en", "N").otherwise("v").alias("pos"))
+    return lexicon.nouns(probing.entity_track(h)).select("id", "target")

@@ -324,7 +324,7 @@ def backbone_bfs(spark, d):
 def expansion_fold(spark, d):
     r = written(_ranked(spark, d), "ranked")
     base = r.where("source_node is not null and target_node is not null and relation = 'PartOf'").select(F.col("source_node").alias("source"), "relation", F.col("target_node").alias("target"), F.lit("wordnet").alias("source_type"))
-    return greedy.expand(r, base, 200, 60, 12)
+    return greedy.expand(r, base, 200, 60, 12, priority=["IsA", "PartOf", "RelatedTo"])
 
 
 @query()

@@ -104,3 +104,25 @@ def read_logs(spark: SparkSession, path: str, name: str) -> DataFrame:
 
     n = re.compile(name).groups
     return df.where(F.col("file").rlike(name)).select("file", F.array(*(F.regexp_extract("file", name, k + 1) for k in range(n))).alias("groups"), "text")
+
+
+#: Pointer symbols of the lexical database's files and the relations they stand for.
+POINTERS = {"@": "hypernym", "~": "hyponym", "@i": "instance_hypernym", "~i": "instance_hyponym", "%p": "part_meronym", "%m": "member_meronym", "%s": "substance_meronym", "#p": "part_holonym", "#m": "member_holonym", "#s": "substance_holonym"}
+
+
+def read_lexical_database(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of data files of a lexical database: nodes (node, pos, words, gloss), edges (source, relation, target, target_pos) of the
+    ten relations. A line is `offset file type words(hex) (word id)* pointers (symbol offset pos places)* | gloss`; lines that begin with a
+    space are no entries. A node is its part of speech and offset."""
+    lines = spark.read.text(path).where("not startswith(value, ' ') and value <> ''")
+    f = F.split(F.substring_index("value", "|", 1), " +")
+    own = lines.select(f.alias("f"), F.trim(F.expr("substring(value, instr(value, '|') + 1)")).alias("gloss")).withColumn("n", F.conv(F.col("f")[3], 16, 10).cast("int"))
+    name = lambda pos, offset: F.concat_ws(":", F.replace(pos, F.lit("s"), F.lit("a")), offset)
+    at = lambda k: F.get("f", k.cast("int"))
+    places = lambda count, first, width: F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda k: first + k * width)).otherwise(F.array().cast("array<int>"))
+    own = own.withColumn("node", name(F.col("f")[2], F.col("f")[0])).withColumn("p", at(F.col("n") * 2 + 4).cast("int"))
+    nodes = own.select("node", F.substring("node", 1, 1).alias("pos"), F.transform(places(F.col("n"), F.lit(4), 2), lambda k: F.get("f", k)).alias("words"), "gloss")
+    pointers = own.select(F.col("node").alias("source"), "f", F.explode(places(F.col("p"), F.col("n") * 2 + 5, 4)).alias("k"))
+    kinds = F.create_map(*(F.lit(x) for pair in POINTERS.items() for x in pair))
+    edges = pointers.select("source", F.try_element_at(kinds, at(F.col("k"))).alias("relation"), name(at(F.col("k") + 2), at(F.col("k") + 1)).alias("target"), at(F.col("k") + 2).alias("target_pos"))
+    return nodes, edges.where("relation is not null").distinct()

@@ -30,12 +30,25 @@ def write_corpus_file(df: DataFrame, path: str, order: list[str], text: str = "t
             out.write(("\n" if k else "") + r[0])
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, digits: int | None = None, mode: str = "error") -> None:
-    """With a header; columns in the given order, else sorted by name; doubles rounded to `digits`."""
-    columns = columns or sorted(df.columns)
+def write_csv(df: DataFrame, path: str, columns: list[str] | str | None = None, digits: int | None = None, mode: str = "error") -> None:
+    """With a header; columns in the given order, in that of the rows ("rows"), else sorted by name; doubles rounded to `digits`."""
+    columns = df.columns if columns == "rows" else columns or sorted(df.columns)
     kinds = dict(df.dtypes)
     df.select(*(F.round(c, digits).alias(c) if digits is not None and kinds[c] in ("double", "float") else c for c in columns)).write.mode(mode).option("header", True).csv(path)
 
 
-def write_if_absent(df: DataFrame, path: str) -> None:
-    df.write.mode("ignore").parquet(path)
+def write_if_absent(df: DataFrame, path: str, force: bool = False) -> None:
+    df.write.mode("overwrite" if force else "ignore").parquet(path)
+
+
+def replace_block(path: str, begin: str, end: str, text: str) -> None:
+    """Put text between two marker lines of a file, or the markers and text at its end where they are absent."""
+    file = Path(path)
+    old = file.read_text(encoding="utf-8") if file.exists() else ""
+    head, mark, rest = old.partition(begin)
+    block = f"{begin}\n{text.strip()}\n{end}"
+    tail = rest.partition(end)[2] if mark else ""
+    if not mark:
+        head = old.rstrip("\n") + ("\n\n" if old.strip() else "")
+        tail = "\n"
+    file.write_text(head + block + tail, encoding="utf-8")

@@ -317,3 +317,52 @@ def test_unfolded_grammar(spark):
     g = sentences.Grammar(grammar.as_dict(grammar.rules(grammar.grammar_lines(spark, GRAMMAR)))["likes"])
     assert [p.words for p in g.predicates.items] == [("likes",), ("is", "fond", "of")] and abs(g.predicates.until[0] - 4 / 7) < 1e-12 and g.described == 1.0
     assert g.predicates.at(0.5).verb and not g.predicates.at(0.6).verb and g.links["has"].at(0.3) == ", and"
+
+
+def test_lexical_database(spark, tmp_path):
+    lines = ["  1 a licence line", "00000010 03 n 01 entity 0 002 ~ 00000020 n 0000 + 00000099 v 0101 | that which is", "00000020 03 n 02 dog 0 domestic_dog 1 003 @ 00000010 n 0000 #m 00000030 n 0000 %p 00000040 n 0000 | a pet | of some", "00000030 14 n 01 pack 0 000 | a group"]
+    (tmp_path / "data.noun").write_text("\n".join(lines) + "\n")
+    nodes, edges = readers.read_lexical_database(spark, str(tmp_path / "data.noun"))
+    assert {(r.node, r.pos, tuple(r.words)) for r in nodes.collect()} == {("n:00000010", "n", ("entity",)), ("n:00000020", "n", ("dog", "domestic_dog")), ("n:00000030", "n", ("pack",))}
+    assert rows(edges.select("source", "relation", "target")) == [("n:00000010", "hyponym", "n:00000020"), ("n:00000020", "hypernym", "n:00000010"), ("n:00000020", "member_holonym", "n:00000030"), ("n:00000020", "part_meronym", "n:00000040")]
+    assert nodes.where("node = 'n:00000020'").first().gloss == "a pet | of some"
+
+
+def test_blocks_and_tables(spark, tmp_path):
+    from glossweave.operators import report
+
+    p = tmp_path / "r.md"
+    p.write_text("# Head\n<!-- b -->\nold\n<!-- e -->\nTail\n")
+    sinks.replace_block(str(p), "<!-- b -->", "<!-- e -->", "new\n")
+    assert p.read_text() == "# Head\n<!-- b -->\nnew\n<!-- e -->\nTail\n"
+    sinks.replace_block(str(tmp_path / "n.md"), "B", "E", "x")
+    assert (tmp_path / "n.md").read_text() == "B\nx\nE\n"
+    df = spark.createDataFrame([("z", 0.5, None), ("a", None, None)], "condition string, m_mean double, m_sd double")
+    table = report.mean_table(df, "condition", ["m"])
+    assert "| z | 0.5000 +/- N/A |" in table and "| a | N/A |" in table
+    df = spark.range(1500).select(F.col("id").alias("condition"))
+    assert report.markdown(df, ["condition"]).count("\n") == 1502
+    target = str(tmp_path / "t")
+    sinks.write_if_absent(spark.range(1), target)
+    sinks.write_if_absent(spark.range(2), target)
+    assert spark.read.parquet(target).count() == 1
+    sinks.write_if_absent(spark.range(2), target, force=True)
+    assert spark.read.parquet(target).count() == 2
+    sinks.write_csv(spark.createDataFrame([(1, 2)], "z int, a int"), str(tmp_path / "c"), "rows")
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["z", "a"]
+
+
+def test_a_missing_second_token_is_an_error(spark):
+    from glossweave.operators import alignment
+
+    a = spark.createDataFrame([("k", "x", "synsets"), ("l", "y", "grammar")], "key string, artificial string, source string")
+    b = spark.createDataFrame([("l", "z")], "key string, artificial string")
+    with pytest.raises(ValueError):
+        alignment.aligned_words(a, b, b.select(F.col("artificial").alias("token")))
+
+
+def test_second_pass_takes_its_own_order(spark):
+    base = spark.createDataFrame([("a", "p", "b", "t"), ("c", "p", "d", "t"), ("a", "p", "c", "t")], EDGE)
+    ranked = spark.createDataFrame([(1, "loose", "b", "d", "b", "d", 1.0), (2, "firm", "a", "d", "a", "d", 1.0), (3, "firm", "new", "b", None, "b", 1.0), (4, "firm", "new", "d", None, "d", 5.0)], "rank int, relation string, source_lemma string, target_lemma string, source_node string, target_node string, weight double")
+    got = [tuple(r) for r in greedy.expand(ranked, base, 9, 5, 9, loose="loose", loose_ratio=0.0, priority=["firm"]).collect()]
+    assert [(r[0], r[1], r[2]) for r in got] == [("a", "firm", "d"), ("conceptnet:new:0", "firm", "b"), ("conceptnet:new:0", "firm", "d")]

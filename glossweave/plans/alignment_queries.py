@@ -53,7 +53,7 @@ def pairs_in_all_conditions(spark, d):
 
 @query(f"""WITH {ad.VECTORS}, c AS (SELECT k, 'c' || k AS condition, id, vec[1 + 16 * k : 32 + 16 * k] AS vec FROM vectors, range(0, 3) t(k) WHERE NOT (k = 2 AND id % 5 = 1)),
 p AS (SELECT id AS pair, id AS a, id + 1 AS b FROM vectors WHERE id % 2 = 0), g AS (SELECT p.*, 'c' || k AS condition FROM p, range(0, 3) t(k))
-SELECT pair, g.condition, round(1 - list_cosine_similarity(x.vec, y.vec), 6) AS distance FROM g LEFT JOIN c x ON x.condition = g.condition AND x.id = a LEFT JOIN c y ON y.condition = g.condition AND y.id = b""")
+SELECT pair, g.condition, round(round(1 - list_cosine_similarity(x.vec, y.vec), 9), 6) AS distance FROM g LEFT JOIN c x ON x.condition = g.condition AND x.id = a LEFT JOIN c y ON y.condition = g.condition AND y.id = b""")
 def distance_trajectory(spark, d):
     v = ad.vectors(spark, d)
     vectors = None

@@ -67,6 +67,7 @@ def split_history(history: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def word_log(text: Column) -> Column:
     """Pair and sentence counts and the four precisions of an evaluation log; a log without four fails."""
+    # the patterns are fixed by the format of the logs
     found = F.regexp_extract_all(text, F.lit(r"top-\d+ precision\s*:\s*([0-9.]+)"), F.lit(1))
     values = F.when(F.size(found) == 4, found).otherwise(F.raise_error(F.concat(F.lit("expected 4 precisions, found "), F.size(found).cast("string"))))
     number = lambda p: F.regexp_extract(text, p, 1).try_cast("int")

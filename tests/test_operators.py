@@ -365,3 +365,49 @@ def test_second_pass_takes_its_own_order(spark):
     ranked = spark.createDataFrame([(1, "loose", "b", "d", "b", "d", 1.0), (2, "firm", "a", "d", "a", "d", 1.0), (3, "firm", "new", "b", None, "b", 1.0), (4, "firm", "new", "d", None, "d", 5.0)], "rank int, relation string, source_lemma string, target_lemma string, source_node string, target_node string, weight double")
     got = [tuple(r) for r in greedy.expand(ranked, base, 9, 5, 9, loose="loose", loose_ratio=0.0, priority=["firm"]).collect()]
     assert [(r[0], r[1], r[2]) for r in got] == [("a", "firm", "d"), ("conceptnet:new:0", "firm", "b"), ("conceptnet:new:0", "firm", "d")]
+
+
+def test_pca_against_singular_values(spark):
+    import numpy as np
+
+    m = np.random.default_rng(2).normal(size=(60, 5)) * [5, 3, 1, 0.5, 0.1] + 2
+    got = {r.id: (r.x, r.y) for r in retrieval.pca_2d(spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(m)], "id long, vec array<double>")).collect()}
+    centred = m - m.mean(0)
+    axes = np.linalg.svd(centred, full_matrices=False)[2][:2]
+    axes *= np.array([[1.0 if abs(a.max()) >= abs(a.min()) else -1.0] for a in axes])
+    assert np.allclose([got[k] for k in range(60)], centred @ axes.T, atol=1e-8)
+
+
+def test_probe_finds_separable_labels(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    at = {0: [3, 0], 1: [-3, 0], 2: [0, 4]}
+    df = spark.createDataFrame([(k, k % 3, [float(x) for x in r.normal(size=2) * 0.3 + at[k % 3]]) for k in range(120)], "id long, label int, vec array<double>")
+    assert all(x.label == x.predicted for x in probing.linear_probe(df.where("id < 60"), df.where("id >= 60"), 3).collect())
+
+
+def test_low_degree_repair_against_a_plain_version(spark):
+    base = [("a", "p", "b", "t"), ("b", "p", "c", "t"), ("c", "p", "d", "t"), ("b", "p", "d", "t")]
+    offers = [(k, "r", f"l{k % 5}", "x", "abcd"[k % 4], None) if k % 2 else (k, "r", "x", f"l{k % 5}", None, "abcd"[k % 4]) for k in range(12)]
+    ranked = spark.createDataFrame([(k, rel, (s if n else lem) if n is None else n, lem if n else t, n, o) for k, rel, s, t, n, o in [(k, r, a, b, c, d) for k, r, a, b, c, d in offers] for lem in [f"l{k % 5}"]], "rank int, relation string, source_lemma string, target_lemma string, source_node string, target_node string")
+    got = [tuple(r) for r in greedy.repair_degrees(ranked, spark.createDataFrame(base, EDGE), 3, 4, 9).collect()]
+    near, taken, want = {n: {m for e in base for m in (e[0], e[2]) if n in (e[0], e[2]) and m != n} for n in "abcd"}, set(), []
+    for node in "abcd":
+        for k, relation, _, _, s, t in offers:
+            lemma = f"l{k % 5}"
+            if (s or t) != node or len(near[node]) >= 3 or len(want) >= 4 or lemma in taken or len({m for e in base for m in (e[0], e[2]) if node in (e[0], e[2]) and m != node}) >= 3:
+                continue
+            new = f"repair:{lemma}:{len(taken)}"
+            taken.add(lemma)
+            near[node].add(new)
+            want.append((node, relation, new, "repair") if s else (new, relation, node, "repair"))
+    assert got and sorted(got) == sorted(want)
+
+
+def test_paired_repair_touches_more_nodes(spark, edges):
+    fixed, variable = edges.orderBy("source", "target", "relation").limit(15), edges.orderBy("target", "source", "relation").exceptAll(edges.orderBy("source", "target", "relation").limit(15)).orderBy("target", "source", "relation").limit(20)
+    out = greedy.paired_repair(edges, fixed, variable, 1)
+    nodes = lambda *parts: {n for p in parts for r in p.collect() for n in (r.source, r.target)}
+    assert out.count() == variable.count() and not set(rows(out)) & set(rows(fixed)) and set(rows(out)) <= set(rows(edges))
+    assert nodes(fixed, variable) <= nodes(fixed, out) and len(nodes(fixed, out)) >= len(nodes(fixed, variable))

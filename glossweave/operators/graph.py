@@ -157,8 +157,12 @@ def siblings(edges: DataFrame, kind: str) -> DataFrame:
 
 def expansions(edges: DataFrame, allowed: DataFrame, rules: DataFrame) -> DataFrame:
     """Sibling pairs whose relations may follow each other and whose second relation has rules."""
-    pairs = siblings(edges, "any").join(F.broadcast(allowed), ["relation", "relation2"], "left_semi")
-    return pairs.join(F.broadcast(rules.select(F.col("relation").alias("relation2")).distinct()), "relation2", "left_semi").select("source", "relation", "target", "relation2", "target2")
+    own = edges.select(*EDGE).distinct()
+    may = allowed.select("relation", "relation2").distinct().join(rules.select(F.col("relation").alias("relation2")).distinct(), "relation2", "left_semi")
+    second = own.select(F.col("source").alias("source2"), F.col("relation").alias("relation3"), F.col("target").alias("target2"))
+    first = own.join(may, "relation")  # only edges whose relation allows one meet second edges, and only those of that relation
+    pairs = first.join(second, (F.col("source") == F.col("source2")) & (F.col("relation2") == F.col("relation3")))
+    return pairs.where("not (relation = relation2 and target = target2)").select("source", "relation", "target", "relation2", "target2")
 
 
 def quality_lookup(edges: DataFrame, relation: str) -> tuple[DataFrame, DataFrame]:

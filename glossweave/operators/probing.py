@@ -47,9 +47,9 @@ def lenient_strict(logits: DataFrame, examples: DataFrame, b_tokens: DataFrame,
     """
     order = Window.partitionBy("sentence_id").orderBy(F.desc("logit"), "token_id")
     ranked = lambda df: df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("sentence_id", "token_id", "place")
-    of_b = logits.join(F.broadcast(b_tokens), "token_id", "left_semi")
+    of_b = logits.join(b_tokens, "token_id", "left_semi")
     full, part = ranked(logits), ranked(of_b)
-    seen = examples.join(F.broadcast(b_tokens.select(F.col("token_id").alias("b_token"))), "b_token", "left_semi")
+    seen = examples.join(b_tokens.select(F.col("token_id").alias("b_token")), "b_token", "left_semi")
     total = examples.select("concept").distinct()
 
     def hits(places: DataFrame, wants: Column, metric: str) -> DataFrame:
@@ -65,7 +65,7 @@ def source_rates(logits: DataFrame, examples: DataFrame, b_tokens: DataFrame) ->
     """One row: of the seen sentences, the share whose best token is the source token, and whose best token is of the
     right concept in the wrong language; 0 where none was seen."""
     best = logits.groupBy("sentence_id").agg(F.max_by("token_id", F.struct("logit", -F.col("token_id"))).alias("best"))
-    seen = examples.join(F.broadcast(b_tokens.select(F.col("token_id").alias("b_token"))), "b_token", "left_semi").join(best, "sentence_id")
+    seen = examples.join(b_tokens.select(F.col("token_id").alias("b_token")), "b_token", "left_semi").join(best, "sentence_id")
     rate = lambda c: F.round(F.coalesce(F.avg(c.cast("int")), F.lit(0.0)), 4)
     return seen.agg(F.count("*").alias("seen"), rate(F.col("best") == F.col("a_token")).alias("source_token_rate"), rate((F.col("best") == F.col("a_token")) & (F.col("a_token") != F.col("b_token"))).alias("right_concept_wrong_lang"))
 

@@ -36,7 +36,7 @@ def stratified(edges: DataFrame, quota: DataFrame, seed: int, purpose: str, keys
     """The first edges of each stratum by their draw, as many as its quota."""
     order = Window.partitionBy(*keys).orderBy("draw", *IDENTITY)
     ranked = edges.withColumn("draw", draw(seed, purpose, identity())).withColumn("place", F.row_number().over(order))
-    return ranked.join(F.broadcast(quota.select(*keys, "quota")), keys).where("place <= quota").select(*edges.columns)
+    return ranked.join(quota.select(*keys, "quota"), keys).where("place <= quota").select(*edges.columns)
 
 
 def stratified_fraction(edges: DataFrame, fraction: float, seed: int, purpose: str = "sample") -> DataFrame:
@@ -96,7 +96,7 @@ def probes(edges: DataFrame, usable: DataFrame, per_relation: int, min_total: in
     keys = ["source", "relation", "target"]
     enough = edges.select(*keys).distinct().groupBy("relation").agg(F.count("*").alias("total")).where(F.col("total") >= min_total)
     fit = usable.groupBy("relation").agg(F.count("*").alias("usable")).where(F.col("usable") >= per_relation)
-    pool = usable.join(F.broadcast(enough.select("relation")), "relation", "left_semi").join(F.broadcast(fit.select("relation")), "relation", "left_semi")
+    pool = usable.join(enough.select("relation"), "relation", "left_semi").join(fit.select("relation"), "relation", "left_semi")
     order = Window.partitionBy("relation").orderBy("draw", "source", "target")
     ranked = pool.withColumn("draw", draw(seed, track, F.concat_ws("|", *keys))).withColumn("place", F.row_number().over(order))
     return ranked.where(F.col("place") <= per_relation).select(F.lit(track).alias("track"), *keys)
@@ -108,7 +108,7 @@ def coverage_fill(edges: DataFrame, cover: DataFrame, target: int, fraction: flo
     The shortfall is that of the cover alone; filling does not reorder.
     """
     short = quotas(edges, fraction).join(cover.groupBy(*STRATUM).agg(F.count("*").alias("have")), STRATUM, "left").select(*STRATUM, (F.col("quota") - F.coalesce("have", F.lit(0))).alias("short"))
-    rest = edges.join(cover.select(*IDENTITY), IDENTITY, "left_anti").join(F.broadcast(short), STRATUM)
+    rest = edges.join(cover.select(*IDENTITY), IDENTITY, "left_anti").join(short, STRATUM)
     need = max(0, target - cover.count())
     fill = rest.withColumn("draw", draw(seed, "fill", identity())).orderBy(F.desc("short"), "draw", *IDENTITY).limit(need)
     return cover.select(*IDENTITY).unionByName(fill.select(*IDENTITY))

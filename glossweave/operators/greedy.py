@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glossweave.sources.shared import ship
+
 LIMIT = 4_000_000
 EDGE = "source string, relation string, target string, source_type string"
 COLUMNS = ["source", "relation", "target", "source_type"]
@@ -26,6 +28,7 @@ def fold(df: DataFrame, step: Callable[[list[tuple]], Iterable[tuple]], schema:
     """step on the ordered rows of df, as one group."""
     if (n := df.limit(limit + 1).count()) > limit:
         raise ValueError(f"{n} rows; a sequential step takes at most {limit}")
+    ship(df.sparkSession)
     names = [c.split()[0] for c in schema.split(",")]
     ordered = df.withColumn("__o", F.row_number().over(Window.orderBy(*order)))
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glossweave.sources.shared import ship
+
 EPSILON = 1e-9
 
 
@@ -70,6 +72,7 @@ def top_k(queries: DataFrame, gallery: DataFrame, k: int, block_rows: int = 2000
 
 def _units(a: DataFrame, b: DataFrame, when: str = "true") -> DataFrame:
     """Pairs of blocks, one a task's batch."""
+    ship(a.sparkSession)
     n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return a.crossJoin(b).where(when).repartition(n, "block", "block2").select("block", "block2", "block_rows", "others")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +29,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+PACKAGE = Path(__file__).resolve().parent.parent
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: by its path on one machine, as a zip elsewhere."""
+    sc = spark.sparkContext
+    root = str(PACKAGE.parent)
+    if sc.master.startswith("local"):
+        known = sc.environment.get("PYTHONPATH", "")
+        if root not in known.split(":"):
+            sc.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
+        return
+    if getattr(sc, "_glossweave_shipped", False):
+        return
+    to = Path(tempfile.mkdtemp()) / "glossweave.zip"
+    with zipfile.ZipFile(to, "w") as out:
+        for path in PACKAGE.rglob("*.py"):
+            out.write(path, path.relative_to(PACKAGE.parent))
+    sc.addPyFile(str(to))
+    sc._glossweave_shipped = True

@@ -4,21 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from glossweave.sources.shared import written
 
+#: Spark's increasing ids have the partition above this bit and the row's number within it below.
+_BITS = 33
+
 
 def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
-    """rows with place (from 0) in their order. Rows are dealt by range and written, counted within a range, and a range begins where
-    the ones before it end."""
+    """rows with place (from 0) in their order; rows that are equal in it stand as they come. Rows are dealt by range, sorted, numbered within
+    their range and written once; a range begins where the ones before it end, and there is one count a range."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = written(rows.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "ranges")  # ranges come from a sample
-    counts = {r["range"]: r["n"] for r in dealt.groupBy("range").agg(F.count("*").alias("n")).collect()}  # one row a range
+    ties = rows.withColumn("__tie", F.monotonically_increasing_id())  # splits a range of equal rows
+    dealt = ties.repartitionByRange(n, *order, "__tie").sortWithinPartitions(*order, "__tie").drop("__tie")
+    kept = written(dealt.withColumn("__at", F.monotonically_increasing_id()), "ranges")  # ranges come from a sample, so they are drawn once
+    part = F.shiftright("__at", _BITS)
+    counts = {r["part"]: r["n"] for r in kept.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # one row a range
     begins, at = [], 0
     for k in sorted(counts):
         begins.append((k, at))
         at += counts[k]
-    start = F.broadcast(rows.sparkSession.createDataFrame(begins, "range int, begin long"))
-    place = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
-    return dealt.withColumn("place", place).join(start, "range").withColumn("place", F.col("place") + F.col("begin")).drop("range", "begin")
+    start = F.broadcast(rows.sparkSession.createDataFrame(begins, "__part long, __begin long"))
+    within = F.col("__at") - F.shiftleft(part, _BITS)
+    return kept.join(start, part == F.col("__part")).withColumn("place", within + F.col("__begin")).drop("__at", "__part", "__begin")

@@ -8,16 +8,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, text_or_empty
-
-#: The pre-splitting pattern of the rank files that this operator is used with.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Between a character that is no white space and a space or line end, every match of PATTERN ends.
-_SAFE = regex.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \n])")
+from .pretokens import PATTERN, safe_pieces
 
 
 @lru_cache(maxsize=4)
@@ -29,21 +24,6 @@ def encoding(rank_file: str, pattern: str):
     return tiktoken.Encoding(rank_file, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def safe_pieces(text: str, size: int) -> Iterator[str]:
-    """The text in pieces of about size characters, cut where no match of PATTERN is cut.
-
-    A stretch without such a place stays whole.
-    """
-    start = 0
-    while len(text) - start > size:
-        cut = _SAFE.search(text, start + size)
-        if not cut:
-            break
-        yield text[start : cut.start()]
-        start = cut.start()
-    yield text[start:]
-
-
 def encode_text(text: str, rank_file: str, pattern: str = PATTERN, piece: int = 1 << 16) -> list[int]:
     enc = encoding(rank_file, pattern)
     if len(text) <= piece or pattern != PATTERN:

@@ -1,11 +1,11 @@
-"""The queries op1_ to op10_ and their SQL. Each is thin: the operator's output, and digests derived from it."""
+"""The queries op1_ to op13_ and their SQL. Each is thin: the operator's output, and digests derived from it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, decontaminate, exact_dedup, html_text, near_dup, pii, token_files, toxicity, url_filter
+from . import bpe, chat, common, decontaminate, exact_dedup, fill_middle, html_text, near_dup, pii, role_repair, token_counts, token_files, toxicity, url_filter
 from .common import table
 
 #: A key for the registered query only; callers bring their own secret.
@@ -96,7 +96,46 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_chat_format, op3_pii_pseudonyms, op4_decontaminate, op5_jaccard_join, op6_url_reputation, op7_toxicity, op8_html_text, op9_bpe_roundtrip, op10_exact_dedup)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), limit=1024)
+
+
+def damaged(said: DataFrame) -> DataFrame:
+    """Conversations with faults, by crc32 of `conv_id:turn` modulo 20: 0 drops a turn, 1 empties it, 2 takes its ends of sentences, 3 repeats
+    it, 4 makes it the user's."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    rows = said.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), F.pmod(F.crc32(key.cast("binary")), F.lit(20)).alias("kind")).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op12_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = role_repair.repair(damaged(said))
+    every = said.groupBy("conv_id").agg(F.lit(0).alias("none"))
+    told = every.select(F.col("conv_id").alias("id"))
+    for part in (found.report, found.digests):
+        told = told.join(part, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return told.select(F.col("id").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=42)
+    whole = fill_middle.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_chat_format, op3_pii_pseudonyms, op4_decontaminate, op5_jaccard_join, op6_url_reputation, op7_toxicity, op8_html_text, op9_bpe_roundtrip, op10_exact_dedup, op11_token_counts, op12_role_repair, op13_fill_middle)}
+
+
+
+def _step(way: str, cost: str, edit: str) -> str:
+    """In SQL: a way (its cost in nine digits, then its audit) after one more edit."""
+    return f"(lpad(CAST(CAST(left({way}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({way}, 10) || '{edit}')"
+
 
 _ESC = r"replace(replace(replace({}, '\', '\\'), '#', '\#'), '</', '<\/')"
 
@@ -162,4 +201,73 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
   doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
   sha256(coalesce(text, '')) AS text_sha256
 FROM documents""",
+    "op13_fill_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+  FROM documents),
+c AS (
+  SELECT doc_id, text, units, len(units) AS n,
+    CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS one, CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS two,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+         WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+p AS (
+  SELECT doc_id, text, n, form, array_to_string(units[1:least(one, two)], '') AS prefix,
+    array_to_string(units[least(one, two) + 1:greatest(one, two)], '') AS middle, array_to_string(units[greatest(one, two) + 1:n], '') AS suffix
+  FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p""",
+    "op12_role_repair": rf"""
+WITH RECURSIVE filled AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+keyed AS (
+  SELECT *, xor(list_reduce(list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda a, b: list_reduce([xor(a, b)] || CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]), lambda r, z: xor(r >> 1, 3988292384 * (r & 1))), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS kind
+  FROM filled),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM keyed, (SELECT unnest([1, 2]) AS copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, left(role, 1) AS i,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last
+  FROM damaged),
+faulty AS (
+  SELECT *, last = '' AS blank, last <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+    lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || i NOT IN ('su', 'ua', 'au') AS illegal
+  FROM placed),
+r AS (
+  SELECT *, NOT blank AND NOT again AS free, NOT blank AND NOT again AND last NOT IN ('.', '!', '?') AS cut,
+    CASE WHEN NOT blank AND NOT again THEN CASE WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END END AS t FROM faulty),
+chart(conv_id, pos, s, y, o, p) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '000000000', CAST(NULL AS VARCHAR), '000000003I', '000000006II' FROM r
+  UNION ALL
+  SELECT conv_id, pos, s, y, o, least(p, {_step('o', '3', 'I')}) FROM (
+    SELECT conv_id, pos, s, y, least(o, {_step('least(s, y, p)', '3', 'I')}) AS o, p FROM (
+      SELECT r.conv_id, r.pos, {_step('s', '4', 'D')} AS s,
+        least({_step('y', '4', 'D')}, {_step('s', "CASE WHEN i = 's' THEN t END", 'K')}) AS y,
+        least({_step('o', '4', 'D')}, {_step('least(s, y, p)', "CASE WHEN i = 'u' THEN t END", 'K')}, {_step('least(s, y, p)', '3 + t', 'R')}) AS o,
+        least({_step('p', '4', 'D')}, {_step('o', "CASE WHEN i = 'a' THEN t END", 'K')}, {_step('o', '3 + t', 'R')}) AS p
+      FROM chart JOIN r ON r.conv_id IS NOT DISTINCT FROM chart.conv_id AND r.pos = chart.pos + 1))),
+told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again) AS duplicate,
+    count(*) FILTER (WHERE cut) AS truncated, count(*) FILTER (WHERE illegal) AS illegal, max(pos) AS n FROM r GROUP BY conv_id),
+best AS (
+  SELECT told.*, CAST(left(least(s, p), 9) AS BIGINT) AS cost, substr(least(s, p), 10) AS audit
+  FROM told JOIN chart ON told.conv_id IS NOT DISTINCT FROM chart.conv_id AND told.n = chart.pos),
+edits AS (
+  SELECT conv_id, nth, audit[nth] AS e, len(replace(left(audit, nth), 'I', '')) AS pos, len(replace(left(audit, nth), 'D', '')) AS spot
+  FROM (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS nth FROM best)),
+made AS (
+  SELECT edits.*, r.role, r.text, max(CASE WHEN spot = 1 AND e = 'K' AND i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY edits.conv_id) AS system
+  FROM edits LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM edits.conv_id AND r.pos = edits.pos WHERE e <> 'D'),
+text AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (spot - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY nth) AS repaired
+  FROM made GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN best ON c.conv_id IS NOT DISTINCT FROM best.conv_id LEFT JOIN text ON c.conv_id IS NOT DISTINCT FROM text.conv_id""",
 }

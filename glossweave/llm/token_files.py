@@ -16,75 +16,18 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import regex
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import safe_pieces
+from . import pretokens
 from .common import filesystem, flat_array, partitions, ship, text_or_empty
 
 _PART = "part int, name string, docs long, nulls long, ids long"
 _ROW = "doc_id long, start long, n_tokens long, ids binary"
 #: Matches remembered by a worker; the memory is emptied when it is full.
 MEMO = 600_000
-#: Characters that are split at once; a longer text is cut where matches end.
-PIECE = 3 << 20
-
-
-@lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    """Of every code point what PATTERN takes it for: 0 white space, 1 letter, 2 number, 3 anything else."""
-    out = np.full(0x110000, 3, np.uint8)
-    every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
-    for kind, pattern in enumerate((r"\s", r"\p{L}", r"\p{N}")):
-        out[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), "<u4")] = kind
-    return out
-
-
-def match_starts(points: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Where each match of PATTERN starts in texts of code points that stand one after another; rows: where each text
-    starts. Matches leave no gaps, so the next one's start is a match's end.
-
-    A match is a run of one class, with the one space before it; of a run of white space before other characters the
-    last character stands alone (or goes with the next run); an apostrophe that no space precedes takes the letters
-    of a contraction from the run behind it.
-    """
-    n = len(points)
-    if not n:
-        return np.zeros(0, np.int64)
-    kind = _classes()[points]
-    begins = np.zeros(n + 3, bool)  # of texts; three more, so that looking ahead stays inside
-    begins[rows[rows < n]] = True
-    begins[n:] = True
-    start = np.zeros(n + 3, bool)
-    start[0] = True
-    np.not_equal(kind[1:], kind[:-1], out=start[1:n])
-    start |= begins
-    space = kind == 0
-    last = np.flatnonzero(space[:-1] & ~space[1:])
-    last = last[~begins[last + 1]]
-    start[last] = True
-    start[last[points[last] == 32] + 1] = False
-    ahead = np.concatenate([points, np.zeros(3, points.dtype)])
-    quote = np.flatnonzero(points == 39)
-    quote = quote[start[quote] & ~begins[quote + 1]]
-    one, two = ahead[quote + 1], ahead[quote + 2]
-    short = quote[np.isin(one, [ord(c) for c in "stmd"])]
-    long = (one == ord("r")) & (two == ord("e")) | (one == ord("v")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
-    long = quote[long & ~begins[quote + 2]]
-    start[short + 1] = start[long + 1] = False
-    start[short + 2] = start[long + 3] = True
-    return np.flatnonzero(start[:n])
-
-
-def _byte_letters() -> dict[int, str]:
-    """The characters by which byte-level files write bytes: printable ones of Latin-1 are themselves, the others follow 255."""
-    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = iter(range(256, 512))
-    return {b: chr(b if b in own else next(rest)) for b in range(256)}
 
 
 class Ids:
@@ -95,7 +38,7 @@ class Ids:
     encode each of those once and remembers it. Other files encode whole texts.
     """
 
-    _LETTERS = _byte_letters()
+    _LETTERS = pretokens.byte_letters()
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -120,32 +63,17 @@ class Ids:
             return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
         pieces, owner = [], []
         for k, t in enumerate(texts):
-            own = [t] if len(t) <= PIECE else list(safe_pieces(t, PIECE))
+            own = [t] if len(t) <= pretokens.PIECE else list(pretokens.safe_pieces(t, pretokens.PIECE))
             pieces += own
             owner += [k] * len(own)
-        whole = "".join(pieces)
-        raw = whole.encode()
-        rows = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])
-        if len(raw) == len(whole):
-            points = np.frombuffer(raw, np.uint8)
-            starts = match_starts(points, rows[:-1])
-            bounds = starts
-        else:
-            points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
-            starts = match_starts(points, rows[:-1])
-            at = np.zeros(len(points), np.int64)  # the first byte of each character
-            np.cumsum(1 + (points[:-1] >= 0x80) + (points[:-1] >= 0x800).astype(np.int8) + (points[:-1] >= 0x10000), out=at[1:])
-            bounds = at[starts]
-        offsets = np.concatenate([bounds, [len(raw)]]).astype(np.int64)
-        matches = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
-        numbers = self._numbers(matches.dictionary.to_pylist())[matches.indices.to_numpy()]
+        matches, indices, until = pretokens.matches_of(pieces)
+        numbers = self._numbers(matches)[indices]
         lengths = self.begins[numbers + 1] - self.begins[numbers]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.arange(total) + np.repeat(self.begins[numbers] - (ends - lengths), lengths)]
-        until = np.concatenate([[0], ends])[np.searchsorted(starts, rows)]
         counts = np.zeros(len(texts), np.int64)
-        np.add.at(counts, owner, np.diff(until))
+        np.add.at(counts, owner, np.diff(np.concatenate([[0], ends])[until]))
         return ids, counts
 
     def _numbers(self, matches: list[bytes]) -> np.ndarray:
@@ -170,16 +98,6 @@ def tokenizer_ids(path: str) -> Ids:
     return Ids(path)
 
 
-def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows with about PIECE bytes of text together, or one row."""
-    sizes = np.cumsum(np.asarray(pc.binary_length(b.column(1)), np.int64))
-    k = 0
-    while k < b.num_rows:
-        to = max(k + 1, int(np.searchsorted(sizes, (sizes[k - 1] if k else 0) + PIECE, "right")))
-        yield b.slice(k, to - k)
-        k = to
-
-
 def _writer(out: str, tokenizer: str, end_id: int | None, dtype: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -190,7 +108,7 @@ def _writer(out: str, tokenizer: str, end_id: int | None, dtype: str):
         fs, root = filesystem(out)
         of, docs, lengths, nulls, stream = tokenizer_ids(tokenizer).of, [], [], 0, None
         for b in batches:
-            for part in _slices(b):
+            for part in pretokens.slices(b):
                 ids, counts = of(part.column(1).to_pylist())
                 if end_id is not None:
                     ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1

@@ -15,7 +15,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from glossweave.llm import bpe, chat, common, components, decontaminate, exact_dedup, html_text, near_dup, pii, queries, token_files, toxicity, url_filter, words
+from glossweave.llm import bpe, chat, common, components, decontaminate, exact_dedup, html_text, near_dup, pii, pretokens, queries, token_files, toxicity, url_filter, words
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, score double, ids string, leaks string"
@@ -92,7 +92,7 @@ def test_matches_agree_with_whole_texts(monkeypatch):
     for letters in ("ab Z'sre\n\t 0½²é×_.,!\u00a0\u2003\u0301中🙂\x1c\x85", "a 'srevmtld\n\t9.x", "'sl t", "é' r"):
         texts = ["".join(r.choices(letters, k=r.randint(0, 40))) for _ in range(500)] + ["", "a", " ", "'", "it's", "x" * 3000]
         for size in (1 << 20, 10):
-            monkeypatch.setattr(token_files, "PIECE", size)
+            monkeypatch.setattr(pretokens, "PIECE", size)
             found, counts = ids.of(texts)
             assert [p.tolist() for p in np.split(found, np.cumsum(counts)[:-1])] == [encode(t) for t in texts]
             ids._forget()

@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 from .common import row_of, ship, with_row, written
 
@@ -161,10 +160,11 @@ def _evidence(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], toxic: list[int], least: int = 3, ratio: float = 3.0, steps: int = 20, decay: float = 1e-4) -> Model:
-    """A model of labelled texts; without both labels it scores by the share of toxic ones alone."""
+    """A model of labelled texts. Where nothing tells toxic texts from others (no labels, one label alone, no word that toxic texts have
+    oftener) it flags nothing: every score is half the share of toxic labels, so below 0.5."""
     y = np.asarray(toxic, float)
     share = (y.sum() + 0.5) / (len(y) + 1)
-    model = Model(document=(0.0, 0.0, math.log(share / (1 - share))))
+    model = Model(document=(0.0, 0.0, math.log(share / (2 - share))))
     if not 0 < y.sum() < len(y):
         return model
     number: dict[str, int] = {}
@@ -273,12 +273,13 @@ def _tag(model: Model, span_least: float):
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, where=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 4000, most_chars: int = 32 << 20) -> Model:
-    """Fit on labelled rows of docs, at most `most`: the first half of each label by a hash of the id; the texts with the
-    smallest such hashes that have at most most_chars characters together.
+    """Fit on labelled rows of docs, at most `most`: the first half of each label by a hash of the id, and of their texts, in that
+    order, each that fits into what is left of most_chars characters.
 
-    Both bounds hold what the driver gets, whatever the lengths of texts are. Rows with a null id, text or label, and those
-    that `where` (a condition on the id column) leaves out, are not used. Of rows that share an id the least text is used.
-    A label that repeats counts as toxic if one of its rows is.
+    Both bounds hold what the driver gets, whatever the lengths of texts are. A text longer than a sixteenth of most_chars is
+    not fitted to (it is scored as a whole, like any other), so no text takes the place of many. Rows with a null id, text or
+    label, and those that `where` (a condition on the id column) leaves out, are not used. Of rows that share an id the least
+    text is used. A label that repeats counts as toxic if one of its rows is. Without both labels the model flags nothing.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("key")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("mark"))
     if where is not None:
@@ -290,8 +291,11 @@ def fit_on(docs: DataFrame, labels: DataFrame, where=None, id_col: str = "doc_id
     own = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("body")).where("body is not null")
     one = own.join(F.broadcast(ids), "key").groupBy("key").agg(F.min("body").alias("body"))  # no more ids than `most`
     sized = written(one.withColumn("chars", F.length("body")).withColumn("place", F.xxhash64(F.col("key").cast("string"))), "fit")
-    until = sized.select("key", "place", F.sum("chars").over(Window.orderBy("place", "key")).alias("sum")).where(F.col("sum") <= most_chars)  # `most` rows of numbers
-    fits = {r.key for r in until.select("key").collect()}
+    fits, left = set(), most_chars
+    for r in sized.where(F.col("chars") <= most_chars // 16).select("key", "chars").orderBy("place", "key").collect():  # no more rows of numbers than `most`
+        if r.chars <= left:
+            fits.add(r.key)
+            left -= r.chars
     rows = sorted(r for r in sized.where(F.col("key").isin(list(fits))).select("key", "body").toLocalIterator()) if fits else []
     return fit([r.body for r in rows], [keys[r.key] for r in rows])
 

@@ -1,10 +1,11 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped first: scripts, styles and other unseen text go, block elements become lines, and lines of
-menus, footers, adverts, comments and the like are marked by their elements' names and class words. The
-lengths of the lines' text outside links are summed over a sliding window; where a sum rises above the threshold
-the text surges, where it falls to nothing it dives. The main text lies between the first surge and the last
-dive, and reaches to the ends of the element that holds it, so short paragraphs at its ends stay. Marks of an
+Markup is stripped first: scripts, styles and other unseen text go and block elements become lines. Each line has a weight: the
+length of its text outside links, nothing for lines of menus, footers, adverts, comments and the like (by their elements' names or by a
+class that says nothing else), half for lines of a class that may be part of an article too. Weights are summed over a sliding
+window; where a sum rises above the threshold the text surges, where it falls to nothing it dives. The main text lies
+between the first surge and the last dive, and reaches to the ends of the element that holds it, so short paragraphs at its ends
+stay. Within it, lines that weigh nothing for what they are go, and doubtful ones unless they are as long as a surge. Marks of an
 article only bound and extend what the windows found, and only where most of it is marked.
 """
 
@@ -15,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Generator, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +39,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var nobr center".split())
 #: Elements that are no part of an article.
 OUTSIDE = frozenset("nav aside footer form dialog menu head".split())
-#: Class, id and role words of elements that are no part of an article.
-OUTSIDE_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs masthead footer sidebar aside comment comments disqus respond responses replies share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toolbar widget widgets contentinfo complementary form skip disclaimer".split())
-#: The same, but only for elements that hold others, not for single paragraphs and headings.
-HOLDER_WORDS = frozenset("header site-header topbar top bottom".split())
+#: Words of classes, ids and roles of elements that are no part of an article.
+OUTSIDE_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs masthead footer sidebar aside comment comments disqus replies share sharing related recommended newsletter subscribe subscription signup pagination pager widget widgets contentinfo complementary disclaimer".split())
+#: The same, but an article may have them too: they count by half.
+DOUBTFUL_WORDS = frozenset("banner alert respond responses reply social login search toolbar form skip".split())
+#: The same as OUTSIDE_WORDS, but only for elements that hold others, not for single paragraphs and headings.
+HOLDER_WORDS = frozenset("header topbar top bottom".split())
+#: Words that may stand beside them in one name (`comment-list`); beside any other word (`share-price`) they say nothing.
+PLACES = frozenset("site page global main top bottom left right center upper lower inner outer primary secondary mobile desktop fixed sticky box bar block wrapper wrap container content area section list item items link links button buttons icon icons group row column panel slot unit holder module text title heading form user reader".split())
+#: The same, but not beside HOLDER_WORDS: an article's header is part of it.
+ARTICLES = frozenset("article articles post posts entry story stories blog news".split())
+_BESIDE, _BESIDE_HOLDER = OUTSIDE_WORDS | DOUBTFUL_WORDS | PLACES | ARTICLES, HOLDER_WORDS | PLACES
 SINGLE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr".split())
 KEEP = frozenset("html body article main".split())
 _BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 div section article ul ol dl table footer header nav aside form blockquote pre li tr td th dt dd main".split())
@@ -52,7 +61,7 @@ ENDS = {"p": _BLOCKS, **{f"h{k}": _BLOCKS for k in range(1, 7)}, "li": {"li"}, "
 class Line:
     text: str
     linked: int  # characters in links
-    outside: bool
+    outside: int  # how its elements are marked: 0 not, 1 doubtful, 2 as no part of an article
     holders: tuple | None  # the innermost article or main around it: its number, and the same of the one around that
     parent: int  # number of the innermost element that holds lines
 
@@ -100,7 +109,7 @@ def lines_of(page: str) -> list[Line]:
     out: list[Line] = []
     parts: list[str] = []
     linked, in_link, number = 0, 0, 0
-    stack: list[tuple[str, bool, tuple | None, int]] = [("", False, None, 0)]  # name, outside, holders, number
+    stack: list[tuple[str, int, tuple | None, int]] = [("", 0, None, 0)]  # name, outside, holders, number
     opened: Counter[str] = Counter()  # how many of each name are on the stack
     last = page.rfind(">") + 1
 
@@ -121,7 +130,7 @@ def lines_of(page: str) -> list[Line]:
         if in_link:
             linked += len(text)
 
-    def push(name: str, outside: bool, holders: tuple | None, parent: int) -> None:
+    def push(name: str, outside: int, holders: tuple | None, parent: int) -> None:
         stack.append((name, outside, holders, parent))
         opened[name] += 1
 
@@ -147,8 +156,8 @@ def lines_of(page: str) -> list[Line]:
         if name == "a":
             in_link = 0 if closing else 1
         if name in INLINE:
-            if not closing and attributes and _outside(name, attributes):
-                push(name, True, stack[-1][2], stack[-1][3])  # its text is dropped, the block goes on
+            if not closing and attributes and _outside(name, attributes) == 2:
+                push(name, 2, stack[-1][2], stack[-1][3])  # its text is dropped, the block goes on
             elif closing and stack[-1][0] == name:
                 pop()
             continue
@@ -166,7 +175,7 @@ def lines_of(page: str) -> list[Line]:
             pop()  # elements that end where the next one begins
         number += 1
         _, outside, holders, parent = stack[-1]
-        outside = outside or name in OUTSIDE or name == "header" and not holders or name not in KEEP and _outside(name, attributes)
+        outside = max(outside, 2 if name in OUTSIDE or name == "header" and not holders else 0 if name in KEEP else _outside(name, attributes))
         if name in ("article", "main"):
             holders = (number, holders)
         push(name, outside, holders, parent if name in SINGLE else number)
@@ -174,17 +183,33 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
-def _outside(name: str, attributes: str) -> bool:
+@lru_cache(maxsize=1 << 14)
+def _told(name: str, holder: bool) -> int:
+    """What one class, id or role says of its element: 2 no part of an article, 1 in doubt, 0 nothing."""
+    words = set(_WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()))
+    if words & OUTSIDE_WORDS and words <= _BESIDE or holder and words & HOLDER_WORDS and words <= _BESIDE_HOLDER:
+        return 2
+    return int(bool(words & DOUBTFUL_WORDS) and words <= DOUBTFUL_WORDS | PLACES)
+
+
+def _outside(name: str, attributes: str) -> int:
+    """2 for an element that is no part of an article by its class, id or role or is hidden, 1 where that is in doubt, else 0."""
+    found, holder = 0, name not in SINGLE and name not in INLINE
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
         if key in ("class", "id", "role"):
-            words = {w for part in value.lower().replace("_", "-").split() for w in _WORDS.findall(part)}
-            words |= {w for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())}
-            if words & OUTSIDE_WORDS or name not in SINGLE and name not in INLINE and words & HOLDER_WORDS:
-                return True
+            for one in value.split():
+                found = max(found, _told(one, holder))
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) or key == "aria-hidden" and value.lower() == "true":
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"=\s*(?:\"[^\"]*\"|'[^']*')", "=x", attributes)))
+            found = 2
+    return 2 if found == 2 or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"=\s*(?:\"[^\"]*\"|'[^']*')", "=x", attributes)) else found
+
+
+def weight(line: Line) -> int:
+    """What a line counts in the windows."""
+    if line.outside == 2 or 2 * line.linked > len(line.text):
+        return 0
+    return (len(line.text) - line.linked) // (1 + line.outside)
 
 
 def surge_and_dive(lengths: list[int], window: int = 3, surge: int = 60) -> tuple[int, int] | None:
@@ -236,9 +261,13 @@ def _marked(own: list[Line], lengths: list[int], first: int, end: int, window: i
 
 def main_text(page: str, window: int = 3, surge: int = 60) -> str:
     lines = lines_of(page)
-    own = [x for x in lines if not x.outside]
-    lengths = [0 if 2 * x.linked > len(x.text) else len(x.text) - x.linked for x in own]
-    found = surge_and_dive(lengths, window, surge)
+    weights = [weight(x) for x in lines]
+    found = surge_and_dive(weights, window, surge)
+    kept = [k for k, x in enumerate(lines) if x.outside == 0 or x.outside == 1 and weights[k] * 2 >= surge]
+    own, lengths = [lines[k] for k in kept], [weights[k] for k in kept]
+    if found:  # places among the lines that may stay
+        first, end = int(np.searchsorted(kept, found[0])), int(np.searchsorted(kept, found[1]))
+        found = (first, end) if first < end else None
     if not found:
         if any(n and x.holders for x, n in zip(own, lengths)):
             return "\n".join(x.text for x, dive in zip(own, _dives(lengths, window)) if x.holders and not dive)

@@ -1,4 +1,4 @@
-"""Order-dependent operators on bounded graphs.
+"""Growth of bounded graphs, one step after another; caps, covers and swaps on graphs of any size are in `rounds` and `swaps`.
 
 Each decision reads what earlier ones changed, so the fold itself is one sequential step over a ranked list. Spark
 makes the list; its length is checked (LIMIT rows), and the fold runs in one task, not on the driver. Degree, coverage
@@ -7,9 +7,7 @@ and counts are kept up to date in the fold instead of being counted again.
 
 from __future__ import annotations
 
-import hashlib
-import heapq
-from collections import Counter, defaultdict, deque
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -39,10 +37,6 @@ def fold(df: DataFrame, step: Callable[[list[tuple]], Iterable[tuple]], schema:
     return ordered.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(run, schema)
 
 
-def _draw(seed: int, *key) -> str:
-    return hashlib.md5("|".join(map(str, (seed, *key))).encode()).hexdigest()
-
-
 class Graph:
     """Edges with caps: no loops, no repeated edge, at most max_degree different neighbours a node."""
 
@@ -67,20 +61,6 @@ class Graph:
         return True
 
 
-def capped_graph(edges: DataFrame, max_degree: int, order: list, target_edges: int | None = None, one_relation: bool = False) -> DataFrame:
-    """Edges taken in order while the caps allow it, up to target_edges."""
-
-    def step(rows: list[tuple]) -> Iterable[tuple]:
-        g = Graph(max_degree, one_relation)
-        for r in rows:
-            if target_edges is not None and len(g.edges) >= target_edges:
-                break
-            g.add(*r)
-        return g.edges
-
-    return fold(edges.select(*COLUMNS), step, EDGE, order)
-
-
 def backbone(edges: DataFrame, lemmas: DataFrame, roots: list[str], priority: list[str], target_nodes: int, max_degree: int, max_depth: int) -> DataFrame:
     """Breadth-first growth from roots. (source, relation, target, source_type, depth): depth is that of the edge's new end.
 
@@ -226,141 +206,3 @@ def repair_degrees(ranked: DataFrame, base: DataFrame, least: int, budget: int,
         return g.edges[start:]
 
     return fold(rows, step, EDGE, ["rank", "relation", "lemma"])
-
-
-def _cover(edges: list[tuple], seed: int) -> list[int]:
-    """Numbers of edges that touch every node: matched pairs of rare nodes first, then for each node left, rare ones first, the edge of it
-    whose other end is uncovered too, at a tie the one with the smaller sum of degrees."""
-    degree, at = Counter(n for e in edges for n in (e[0], e[2])), defaultdict(list)
-    sums = [degree[e[0]] + degree[e[2]] for e in edges]
-    drawn = [_draw(seed, *e) for e in edges]
-    for k, e in enumerate(edges):
-        at[e[0]].append(k)
-        at[e[2]].append(k)
-    covered, chosen = set(), []
-    for k in sorted(range(len(edges)), key=lambda k: (min(degree[edges[k][0]], degree[edges[k][2]]), sums[k], drawn[k], k)):
-        if not covered & {edges[k][0], edges[k][2]}:
-            chosen.append(k)
-            covered |= {edges[k][0], edges[k][2]}
-    for node in sorted(degree.keys() - covered, key=lambda n: (degree[n], n)):
-        if node not in covered:
-            best = min(at[node], key=lambda k: (edges[k][0] in covered, edges[k][2] in covered, sums[k], drawn[k], k))
-            chosen.append(best)
-            covered |= {edges[best][0], edges[best][2]}
-    return sorted(chosen)
-
-
-def edge_cover(edges: DataFrame, seed: int) -> DataFrame:
-    return fold(edges.select(*COLUMNS), lambda rows: [rows[k] for k in _cover(rows, seed)], EDGE, COLUMNS)
-
-
-def relation_first(edges: DataFrame, sample: DataFrame, seed: int, trials: int = 500) -> DataFrame:
-    """A stratified sample repaired to touch every node: an edge at an uncovered node comes in, and of at most `trials`
-    edges whose ends stay covered the one leaves that moves the counts by stratum least. The size stays."""
-    marked = edges.select(*COLUMNS).join(sample.select(*COLUMNS).withColumn("m", F.lit(1)), COLUMNS, "left").select(*COLUMNS, F.coalesce("m", F.lit(0)).alias("m"))
-
-    def step(rows: list[tuple]) -> Iterable[tuple]:
-        chosen = {k for k, r in enumerate(rows) if r[4]}
-        wanted = Counter((rows[k][1], rows[k][3]) for k in chosen)
-        have, degree = Counter(wanted), Counter(n for k in chosen for n in (rows[k][0], rows[k][2]))
-        at: dict[str, list[int]] = defaultdict(list)
-        for k, r in enumerate(rows):
-            at[r[0]].append(k)
-            at[r[2]].append(k)
-        leaving, place = sorted(chosen, key=lambda k: _draw(seed, "out", *rows[k][:4])), 0  # one drawn order, gone round
-        for node in sorted(n for n in at if not degree[n]):
-            if degree[node]:
-                continue
-            come = min(at[node], key=lambda k: (have[rows[k][1], rows[k][3]] - wanted[rows[k][1], rows[k][3]], -(degree[rows[k][0]] == 0) - (degree[rows[k][2]] == 0), _draw(seed, "in", *rows[k][:4])))
-            key = rows[come][1], rows[come][3]
-            loose, looked = [], 0
-            while looked < len(leaving) and len(loose) < trials:
-                k = leaving[place]
-                if k in chosen and degree[rows[k][0]] > 1 and degree[rows[k][2]] > 1:
-                    loose.append(k)
-                place, looked = (place + 1) % len(leaving), looked + 1
-            if not loose:
-                raise ValueError(f"no edge can leave for {node}")
-            leave = min(loose, key=lambda k: (abs(have[rows[k][1], rows[k][3]] - 1 - wanted[rows[k][1], rows[k][3]]) if (rows[k][1], rows[k][3]) != key else 0, k))
-            for k, by in ((come, 1), (leave, -1)):
-                have[rows[k][1], rows[k][3]] += by
-                degree[rows[k][0]] += by
-                degree[rows[k][2]] += by
-            chosen.add(come)
-            chosen.discard(leave)
-        return [rows[k][:4] for k in sorted(chosen)]
-
-    return fold(marked, step, EDGE, COLUMNS)
-
-
-def relation_control(edges: DataFrame, sample: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-    """A sample moved towards wanted counts (n by relation, or by relation and source_type) by swaps, while both ends of the edge that leaves
-    keep another one. The size stays.
-
-    A swap takes an edge of a group with too many and brings one of a group with too few, so each brings the counts two nearer, and
-    no group changes sides. An edge that holds a node alone waits until another edge comes to that node.
-    """
-    keys = [c for c in ("relation", "source_type") if c in wanted.columns]
-    counts = {tuple(r[c] for c in keys): r.n for r in wanted.collect()}  # one row a group
-    marked = edges.select(*COLUMNS).join(sample.select(*COLUMNS).withColumn("m", F.lit(1)), COLUMNS, "left").select(*COLUMNS, F.coalesce("m", F.lit(0)).alias("m"))
-    places = [COLUMNS.index(c) for c in keys]
-
-    def step(rows: list[tuple]) -> Iterable[tuple]:
-        group = [tuple(r[p] for p in places) for r in rows]
-        chosen = {k for k, r in enumerate(rows) if r[4]}
-        excess = Counter(group[k] for k in chosen)
-        excess.subtract(counts)
-        degree = Counter(n for k in chosen for n in (rows[k][0], rows[k][2]))
-        drawn = sorted(range(len(rows)), key=lambda k: _draw(seed, *rows[k][:4]))
-        leaving = deque(k for k in drawn if k in chosen and excess[group[k]] > 0)
-        coming = deque(k for k in drawn if k not in chosen and excess[group[k]] < 0)
-        waiting: dict[str, list[int]] = defaultdict(list)
-        while leaving and coming:
-            gone, new = leaving[0], coming[0]
-            alone = next((n for n in (rows[gone][0], rows[gone][2]) if degree[n] < 2), None)
-            if excess[group[gone]] <= 0:
-                leaving.popleft()
-            elif alone is not None:
-                waiting[alone].append(leaving.popleft())
-            elif excess[group[new]] >= 0:
-                coming.popleft()
-            else:
-                leaving.popleft()
-                coming.popleft()
-                chosen.discard(gone)
-                chosen.add(new)
-                for k, by in ((gone, -1), (new, 1)):
-                    excess[group[k]] += by
-                    degree[rows[k][0]] += by
-                    degree[rows[k][2]] += by
-                for n in (rows[new][0], rows[new][2]):
-                    leaving.extend(waiting.pop(n, ()))
-        return [rows[k][:4] for k in sorted(chosen)]
-
-    return fold(marked, step, EDGE, COLUMNS)
-
-
-def paired_repair(edges: DataFrame, fixed: DataFrame, variable: DataFrame, seed: int, trials: int = 300) -> DataFrame:
-    """The variable part of a paired sample, swapped so that fixed and variable edges touch as many nodes as they can."""
-    tag = lambda df, m: df.select(*COLUMNS).withColumn("m", F.lit(m))
-    marked = edges.select(*COLUMNS).join(tag(fixed, 2).unionByName(tag(variable, 1)), COLUMNS, "left").select(*COLUMNS, F.coalesce("m", F.lit(0)).alias("m"))
-
-    def step(rows: list[tuple]) -> Iterable[tuple]:
-        chosen, locked = {k for k, r in enumerate(rows) if r[4] == 1}, {k for k, r in enumerate(rows) if r[4] == 2}
-        degree = Counter(n for k in chosen | locked for n in (rows[k][0], rows[k][2]))
-        for k in sorted((k for k, r in enumerate(rows) if not r[4]), key=lambda k: _draw(seed, *rows[k][:4])):
-            if degree[rows[k][0]] and degree[rows[k][2]]:
-                continue
-            gain = (not degree[rows[k][0]]) + (not degree[rows[k][2]])
-            same = [c for c in heapq.nsmallest(trials, chosen, key=lambda c: (rows[c][1] != rows[k][1], c)) if degree[rows[c][0]] > 1 and degree[rows[c][2]] > 1]
-            if not same or not gain:
-                continue
-            leave = same[0]
-            chosen.discard(leave)
-            chosen.add(k)
-            for e, by in ((k, 1), (leave, -1)):
-                degree[rows[e][0]] += by
-                degree[rows[e][2]] += by
-        return [rows[k][:4] for k in sorted(chosen)]
-
-    return fold(marked, step, EDGE, COLUMNS)

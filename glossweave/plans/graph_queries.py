@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glossweave.operators import graph as g
-from glossweave.operators import greedy, sampling
+from glossweave.operators import greedy, rounds, sampling, swaps
 from glossweave.sources import adapters as ad
 from glossweave.sources import readers
 from glossweave.sources.shared import written
@@ -310,7 +310,7 @@ def _dense_control_fill(e):
 
 @query()
 def greedy_capped_graph(spark, d):
-    return greedy.capped_graph(ad.kg_edges(spark, d), 12, ["source", "relation", "target"])
+    return rounds.capped_graph(ad.kg_edges(spark, d), 12, ["source", "relation", "target"])
 
 
 @query()
@@ -336,7 +336,7 @@ def low_degree_repair(spark, d):
 
 @query()
 def edge_cover(spark, d):
-    return greedy.edge_cover(ad.kg_edges(spark, d), 1)
+    return rounds.edge_cover(ad.kg_edges(spark, d), 1)
 
 
 @query()
@@ -344,17 +344,17 @@ def relation_first_repair(spark, d):
     e = ad.kg_edges(spark, d)
     back = e.select(F.col("source"), F.concat(F.lit("also_"), "relation").alias("relation"), "target", "source_type")
     e = e.unionByName(back)
-    return greedy.relation_first(e, sampling.stratified_fraction(e, 0.75, 1), 1)
+    return swaps.relation_first(e, sampling.stratified_fraction(e, 0.75, 1), 1)
 
 
 @query()
 def relation_control(spark, d):
     e = ad.kg_edges(spark, d)
-    return greedy.relation_control(e, sampling.stratified_fraction(e, 0.3, 1), sampling.quotas(e.where("relation <> 'inRegion'"), total=100).groupBy("relation", "source_type").agg(F.sum("quota").alias("n")), 1)
+    return swaps.relation_control(e, sampling.stratified_fraction(e, 0.3, 1), sampling.quotas(e.where("relation <> 'inRegion'"), total=100).groupBy("relation", "source_type").agg(F.sum("quota").alias("n")), 1)
 
 
 @query()
 def paired_coverage_repair(spark, d):
     e = ad.kg_edges(spark, d)
     p = written(sampling.paired(e, 150, 0.4, 3), "pair")
-    return greedy.paired_repair(e, p.where("part = 'shared'").drop("part"), p.where("part = 'first'").drop("part"), 3)
+    return swaps.paired_repair(e, p.where("part = 'shared'").drop("part"), p.where("part = 'first'").drop("part"), 3)

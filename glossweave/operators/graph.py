@@ -155,6 +155,33 @@ def siblings(edges: DataFrame, kind: str) -> DataFrame:
     return joined.where(on[kind]).select("source", "relation", "target", "relation2", "target2")
 
 
+def sibling_classes(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, edges, pairs, digest) of edges that agree in keys, at least two: how many there are, how many ordered pairs they make, and the sum of
+    the first 32 bits of the md5 of their ends. Pairs are counted, not listed, so a hub costs as much as its edges."""
+    own = edges.select(*EDGE).distinct()
+    rest = F.concat_ws("|", *(c for c in EDGE if c not in keys))
+    digest = F.conv(F.substring(F.md5(rest), 1, 8), 16, 10).cast("long")
+    sizes = own.groupBy(*keys).agg(F.count("*").alias("edges"), F.sum(digest).alias("digest")).where("edges > 1")
+    return sizes.select(*keys, "edges", (F.col("edges") * (F.col("edges") - 1)).alias("pairs"), "digest")
+
+
+def drawn_siblings(edges: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """For each edge one of the others that agree with it in keys, uniformly by a draw: (source, relation, target, relation2, target2).
+
+    Edges stand in one order by keys; a partner is so many places further, round its class, so two edges meet by a place and no
+    class is listed in pairs or gathered."""
+    from glossweave.sources.shared import written
+
+    from .numbering import numbered
+
+    rest = [c for c in EDGE if c not in keys]
+    placed = written(numbered(edges.select(*EDGE).distinct(), *keys, *rest), "siblings")
+    sizes = placed.groupBy(*keys).agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    ahead = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *EDGE)), 1, 8), 16, 10).cast("long") % (F.col("n") - 1) + 1
+    aims = placed.join(sizes, keys).select(*EDGE, (F.col("first") + (F.col("place") - F.col("first") + ahead) % F.col("n")).alias("aim"))
+    return aims.join(placed.select(F.col("place").alias("aim"), F.col("relation").alias("relation2"), F.col("target").alias("target2")), "aim").drop("aim")
+
+
 def expansions(edges: DataFrame, allowed: DataFrame, rules: DataFrame) -> DataFrame:
     """Sibling pairs whose relations may follow each other and whose second relation has rules."""
     own = edges.select(*EDGE).distinct()

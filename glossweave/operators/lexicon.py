@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from glossweave.functions.text import alphabet, base_pos, draw, uniform
 
+from .numbering import numbered
+
 #: Code point ranges of the writing systems for artificial tokens.
 PRESETS = {"cjk": [(0x4E00, 0x9FFF)], "hiragana": [(0x3041, 0x3096)], "yi": [(0xA000, 0xA48C)], "cyrillic": [(0x0430, 0x044F)]}
 
@@ -83,7 +85,7 @@ def union_tokens(a: DataFrame, b: DataFrame) -> DataFrame:
     """(token, place): the tokens of a, then those only in b, by ordinal (token, ordinal)."""
     both = a.select("token", F.lit(0).alias("side"), "ordinal").unionByName(b.select("token", F.lit(1).alias("side"), "ordinal"))
     first = both.groupBy("token").agg(F.min(F.struct("side", "ordinal")).alias("at"))
-    return first.select("token", F.row_number().over(Window.orderBy("at", "token")).alias("place"))
+    return numbered(first, "at", "token").select("token", (F.col("place") + 1).cast("int").alias("place"))
 
 
 def nouns(nodes: DataFrame) -> DataFrame:

@@ -129,9 +129,31 @@ def bfs_depth(spark, d):
 _E = f"WITH {KG}, e AS (SELECT DISTINCT source, relation, target FROM kg)"
 
 
-@query(f"{_E} SELECT a.source, a.relation, a.target, b.relation AS relation2, b.target AS target2 FROM e a JOIN e b ON a.source = b.source AND a.relation = b.relation AND a.target <> b.target")
+@query(f"""{_E} SELECT source, relation, count(*) AS edges, count(*) * (count(*) - 1) AS pairs, CAST(sum(CAST('0x' || left(md5(target), 8) AS BIGINT)) AS BIGINT) AS digest
+FROM e GROUP BY source, relation HAVING count(*) > 1""")
 def sibling_same_relation(spark, d):
-    return g.siblings(ad.kg_edges(spark, d), "same_relation")
+    return g.sibling_classes(ad.kg_edges(spark, d), ["source", "relation"])
+
+
+@query(f"""{_E} SELECT target, relation, count(*) AS edges, count(*) * (count(*) - 1) AS pairs, CAST(sum(CAST('0x' || left(md5(source), 8) AS BIGINT)) AS BIGINT) AS digest
+FROM e GROUP BY target, relation HAVING count(*) > 1""")
+def sibling_same_end(spark, d):
+    return g.sibling_classes(ad.kg_edges(spark, d), ["target", "relation"])
+
+
+_DRAWN = f"""{_E}, c AS (SELECT *, row_number() OVER (PARTITION BY source{{keys}} ORDER BY relation, target) - 1 AS pos, count(*) OVER (PARTITION BY source{{keys}}) AS n FROM e)
+SELECT a.source, a.relation, a.target, b.relation AS relation2, b.target AS target2 FROM c a JOIN c b ON a.source = b.source{{on}}
+AND b.pos = (a.pos + CAST('0x' || left(md5('5|' || a.source || '|' || a.relation || '|' || a.target), 8) AS BIGINT) % (a.n - 1) + 1) % a.n WHERE a.n > 1"""
+
+
+@query(_DRAWN.format(keys=", relation", on=" AND a.relation = b.relation"))
+def sibling_drawn_same_relation(spark, d):
+    return g.drawn_siblings(ad.kg_edges(spark, d), ["source", "relation"], 5)
+
+
+@query(_DRAWN.format(keys="", on=""))
+def sibling_drawn_any(spark, d):
+    return g.drawn_siblings(ad.kg_edges(spark, d), ["source"], 5)
 
 
 _E2 = f"WITH {KG}, e AS (SELECT DISTINCT source, relation, target FROM kg WHERE relation = 'inNation' UNION ALL SELECT DISTINCT source, 'livesIn', target FROM kg WHERE relation = 'inNation' AND source LIKE 'c:%')"

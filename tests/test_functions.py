@@ -1,6 +1,8 @@
 """Text and statistics functions on known values."""
 
 import math
+import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +101,37 @@ def test_log_without_four_precisions_fails(spark):
     df = spark.createDataFrame([("top-1 precision : 0.5",)], "t string").select(report.word_log(F.col("t")))
     with pytest.raises(Exception, match="expected 4 precisions"):
         df.collect()
+
+
+def exact_fisher(a, na, b, nb, side):
+    good = a + b
+    ways = {k: math.comb(na, k) * math.comb(nb, good - k) for k in range(max(0, good - nb), min(na, good) + 1)}
+    inside = {"greater": lambda k: k >= a, "less": lambda k: k <= a, "two-sided": lambda k: ways[k] <= ways[a] + ways[a] // 10**7}[side]
+    return float(Fraction(sum(w for k, w in ways.items() if inside(k)), math.comb(na + nb, good)))
+
+
+@pytest.mark.parametrize("side", ["greater", "less", "two-sided"])
+def test_fisher_against_whole_numbers(spark, side):
+    r, made = random.Random(1), [(0, 0, 0, 0), (0, 5, 0, 7), (5, 5, 7, 7), (0, 0, 3, 9), (1, 1, 0, 1)]
+    for _ in range(60):
+        na, nb = (r.choice([r.randint(0, 12), r.randint(1, 300), r.randint(100, 2500)]) for _ in range(2))
+        p = r.random()
+        made += [(r.randint(0, na), na, r.randint(0, nb), nb), (sum(r.random() < p for _ in range(na)), na, sum(r.random() < p for _ in range(nb)), nb)]
+    for x in stats.fisher(spark.createDataFrame(made, "hits_a long, n_a long, hits_b long, n_b long"), side).collect():
+        assert math.isclose(x.p_fisher, exact_fisher(*x[:4], side), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_fisher_of_large_totals(spark):
+    """Totals of 10^9, where the normal tail with its half-step is near; no list, no bound."""
+    t = spark.createDataFrame([(300_010_000, 600_000_000, 200_000_000, 400_000_000)], "hits_a long, n_a long, hits_b long, n_b long")
+    a, b, good = 600_000_000, 400_000_000, 500_010_000
+    deviation = math.sqrt(good * (a / 1e9) * (b / 1e9) * (1e9 - good) / (1e9 - 1))
+    z = (300_010_000 - 0.5 - good * a / 1e9) / deviation
+    assert math.isclose(stats.fisher(t).first().p_fisher, math.erfc(z / math.sqrt(2)) / 2, rel_tol=1e-6)
+
+
+def test_normal_tail(spark):
+    df = spark.createDataFrame([(k / 10,) for k in range(-80, 370)], "z double")
+    for x in df.select("z", stats.normal_tail(F.col("z")).alias("p")).collect():
+        assert math.isclose(x.p, math.erfc(x.z / math.sqrt(2)) / 2, rel_tol=1e-12)
+    assert math.isnan(spark.createDataFrame([(float("nan"),)], "z double").select(stats.normal_tail(F.col("z")).alias("p")).first().p)

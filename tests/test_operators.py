@@ -316,7 +316,7 @@ def test_partners_are_drawn_evenly_from_the_whole_group(spark):
 def test_unfolded_grammar(spark):
     g = sentences.Grammar(grammar.as_dict(grammar.rules(grammar.grammar_lines(spark, GRAMMAR)))["likes"])
     assert [p.words for p in g.predicates.items] == [("likes",), ("is", "fond", "of")] and abs(g.predicates.until[0] - 4 / 7) < 1e-12 and g.described == 1.0
-    assert g.predicates.at(0.5).verb and not g.predicates.at(0.6).verb and g.links["has"].at(0.3) == ", and"
+    assert [p.verb for p in g.predicates.items] == [True, False] and g.predicates.until[-1] == 1.0 and g.links["has"].items == [", and"]
 
 
 def test_lexical_database(spark, tmp_path):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glossweave.operators import graph as g
-from glossweave.operators import greedy, rounds, sampling, swaps
+from glossweave.operators import growth, rounds, sampling, swaps
 from glossweave.sources import adapters as ad
 from glossweave.sources import readers
 from glossweave.sources.shared import written
@@ -339,21 +339,21 @@ def greedy_capped_graph(spark, d):
 def backbone_bfs(spark, d):
     e = ad.kg_edges(spark, d).select(F.col("target").alias("source"), "relation", F.col("source").alias("target"), "source_type")
     lemmas = g.endpoints(e).select("node", F.col("node").alias("lemma"))
-    return greedy.backbone(e, lemmas, ["r:0", "r:1", "r:2", "r:3", "r:4"], ["inRegion", "inNation"], 200, 30, 3)
+    return growth.backbone(e, lemmas, ["r:0", "r:1", "r:2", "r:3", "r:4"], ["inRegion", "inNation"], 200, 30, 3)
 
 
 @query()
 def expansion_fold(spark, d):
     r = written(_ranked(spark, d), "ranked")
     base = r.where("source_node is not null and target_node is not null and relation = 'PartOf'").select(F.col("source_node").alias("source"), "relation", F.col("target_node").alias("target"), F.lit("wordnet").alias("source_type"))
-    return greedy.expand(r, base, 200, 60, 12, priority=["IsA", "PartOf", "RelatedTo"])
+    return growth.expand(r, base, 200, 60, 12, priority=["IsA", "PartOf", "RelatedTo"])
 
 
 @query()
 def low_degree_repair(spark, d):
     r = written(_ranked(spark, d), "ranked")
     base = r.where("source_node is not null and target_node is not null").select(F.col("source_node").alias("source"), "relation", F.col("target_node").alias("target"))
-    return greedy.repair_degrees(r, base, 12, 50, 16)
+    return growth.repair_degrees(r, base, 12, 50, 16)
 
 
 @query()

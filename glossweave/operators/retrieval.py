@@ -97,10 +97,13 @@ def wrong(ranked: DataFrame, gold: DataFrame, most: int) -> DataFrame:
 
 
 def mean_vectors(rows: DataFrame, *keys: str) -> DataFrame:
-    """(keys, vec): the component-wise mean; components travel as (key, place) sums that tasks add up first."""
-    parts = rows.select(*keys, F.posexplode("vec").alias("__i", "__x")).groupBy(*keys, "__i").agg(F.avg("__x").alias("__x"))
-    sorted_parts = F.array_sort(F.collect_list(F.struct("__i", "__x")))
-    return parts.groupBy(*keys).agg(F.transform(sorted_parts, lambda s: s["__x"]).alias("vec"))
+    """(keys, vec): the component-wise mean of vectors of one length; tasks add whole vectors up, one row a group travels. Rows without a vector
+    count for nothing."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    whole = rows.where("vec is not null").select(*keys, array_to_vector("vec").alias("__v"))
+    return whole.groupBy(*keys).agg(vector_to_array(Summarizer.mean(F.col("__v"))).alias("vec"))
 
 
 def token_vectors(rows: DataFrame, epsilon: float = 0.0) -> DataFrame:

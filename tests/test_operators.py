@@ -407,3 +407,13 @@ def test_paired_repair_touches_more_nodes(spark, edges):
     nodes = lambda *parts: {n for p in parts for r in p.collect() for n in (r.source, r.target)}
     assert out.count() == variable.count() and not set(rows(out)) & set(rows(fixed)) and set(rows(out)) <= set(rows(edges))
     assert nodes(fixed, variable) <= nodes(fixed, out) and len(nodes(fixed, out)) >= len(nodes(fixed, variable))
+
+
+def test_mean_vectors_against_a_plain_version(spark):
+    r = random.Random(4)
+    data = [("ab"[k % 2] if k % 3 else "hub", None if k % 7 == 0 else [r.random() for _ in range(3)]) for k in range(60)] + [("bare", None)]
+    df = spark.createDataFrame(data, "key string, vec array<double>").repartition(5)
+    want = {k: [v for g, v in data if g == k and v] for k in ("a", "b", "hub")}
+    got = {x.key: x.vec for x in retrieval.mean_vectors(df, "key").collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx([sum(c) / len(c) for c in zip(*v)], abs=1e-12) for k, v in want.items())
+    assert retrieval.mean_vectors(df.where("false"), "key").count() == 0

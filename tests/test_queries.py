@@ -1,5 +1,7 @@
 """Every registered query runs; those with SQL give its rows."""
 
+from collections import Counter
+
 import pytest
 from compare import same
 from conftest import SF
@@ -53,3 +55,19 @@ def test_all_turns_are_retrieved(spark, name):
 
     odd = adapters.table(spark, SF, "conversations").where("turn % 2 = 1").count()
     assert registry.QUERIES[name](spark, SF).first().queries == odd
+
+
+def test_relation_control_has_swaps(spark):
+    """The wanted counts are of the sample's size: many edges leave and come, until the largest relation has none left to give or the others have theirs."""
+    from glossweave.operators import sampling
+    from glossweave.sources import adapters
+
+    edges = [tuple(r) for r in adapters.kg_edges(spark, SF).collect()]
+    before = {tuple(r) for r in sampling.stratified_fraction(adapters.kg_edges(spark, SF), 0.3, 1).collect()}
+    after = {(r.source, r.relation, r.target, r.source_type) for r in registry.QUERIES["relation_control"](spark, SF).collect()}
+    nodes = lambda part: Counter(n for x in part for n in (x[0], x[2]))
+    assert len(after) == len(before) and after <= set(edges) and set(nodes(before)) <= set(nodes(after))
+    assert len(after - before) > len(before) // 4
+    held, kinds, stock = nodes(after), Counter(x[1] for x in after), Counter(x[1] for x in edges)
+    loose = [x for x in after if x[1] == "suppliedBy" and held[x[0]] > 1 and held[x[2]] > 1]
+    assert not loose or all(kinds[r] >= round(0.9 * n) - 2 for r, n in stock.items() if r != "suppliedBy")
